@@ -111,7 +111,9 @@ def _combine(how: str, parts: list[Column], lists: bool) -> Column:
 
 def std_from_sums(s1: Column, s2: Column, n: int) -> Column:
     """Sample deviation from the sum and the sum of squares of n values."""
-    return F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))
+    squares = s2 - s1 * s1 / n
+    # a difference of equal sums may come out just below zero; a missing one stays missing
+    return F.sqrt(F.when(squares < 0, F.lit(0.0)).otherwise(squares) / (n - 1))
 
 
 def moments_from_sums(s1, s2, s3, s4, n: int) -> tuple[Column, Column]:

@@ -58,7 +58,7 @@ def validate_plans(plans: DataFrame) -> DataFrame:
     Columns: symbol, start, end, interval, period, all strings, NULL when not given.
     """
     given = {c: F.col(c).isNotNull() for c in ("start", "end", "interval", "period")}
-    day = {c: F.try_to_date(c, F.lit("yyyy-MM-dd")) for c in ("start", "end")}
+    day = {c: F.try_to_date(c, "yyyy-MM-dd") for c in ("start", "end")}
     rules = [
         (~(given["start"] | given["end"] | given["interval"] | given["period"]), "no_parameter"),
         (~given["start"] & ~given["period"], "start_or_period_required"),

@@ -79,11 +79,12 @@ def quality_report(panel: DataFrame, rules: QualityRules = QualityRules()) -> Da
     enough = F.col("total_rows_checked") >= rules.min_required_data_points
     failed = [F.when(usable & (F.col(f"n_{c}") > 0), F.lit(c)) for c in active]
     failed.append(F.when(usable & ~enough, F.lit("min_data_points")))
-    details = [F.when(usable, F.struct(F.lit(c), F.col(f"n_{c}") == 0)) for c in active]
-    details.append(F.when(usable, F.struct(F.lit("min_data_points"), enough)))
+    entry = lambda name, ok: F.struct(F.lit(name).alias("check"), ok.alias("passed"))
+    details = [F.when(usable, entry(c, F.col(f"n_{c}") == 0)) for c in active]
+    details.append(F.when(usable, entry("min_data_points", enough)))
     if rules.required_columns:
         failed.insert(0, F.when(~usable, F.lit("required_columns")))
-        details.insert(0, F.struct(F.lit("required_columns"), F.col("_present")))
+        details.insert(0, entry("required_columns", F.col("_present")))
     issues = F.lit(0).cast("long")
     for c in active:
         issues = issues + F.col(f"n_{c}")
