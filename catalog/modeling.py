@@ -128,9 +128,9 @@ def baseline_r2(spark, sf):
 
 SQL_RADIUS = """sc AS (SELECT abs(y - q3) AS s, row_number() OVER (ORDER BY abs(y - q3)) AS k,
        count(*) OVER () AS n FROM fc WHERE split = 'cal'),
-rad AS (SELECT max(s) AS r FROM sc WHERE k = least(greatest(CAST(ceil((n + 1) *
+rad AS (SELECT max(s) AS rad FROM sc WHERE k = least(greatest(CAST(ceil((n + 1) *
        (1 - CAST(0.2 AS DOUBLE))) AS BIGINT), 1), n)),
-iv AS (SELECT symbol, date, y, q1, q2, q3, q4, q5, q3 - r AS lo, q3 + r AS hi
+iv AS (SELECT symbol, date, y, q1, q2, q3, q4, q5, q3 - rad AS lo, q3 + rad AS hi
        FROM fc, rad WHERE split = 'test')"""
 
 

@@ -345,12 +345,12 @@ _INTERVAL = {
     with_ctes(
         [*ctes_forecasts(), SQL_OUTER, sql_interval("ov"),
          "wd AS (SELECT quantile_cont(width, [0.25, 0.5, 0.75]) AS wq FROM ov)"],
-        _report_sql(_INTERVAL, "it, wd"),
+        "SELECT section, metric, value FROM (" + _report_sql(_INTERVAL, "it, wd") + ")",
     ),
 )
 def interval_report(spark, sf):
     out = M.interval_report(outer(spark, sf), "y_log_returns", "lower", "upper", 0.8)
-    return out.select("section", "entity", "metric", rd("value").alias("value"))
+    return out.select("section", "metric", rd("value").alias("value"))
 
 
 @query(
