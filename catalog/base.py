@@ -101,14 +101,14 @@ def returns(spark: SparkSession, sf: str, kind: str = "nation") -> DataFrame:
 
 def split_returns(spark: SparkSession, sf: str) -> DataFrame:
     labelled = returns(spark, sf).select("symbol", "date", "log_returns_d", "y_log_returns")
-    return with_holdout_split(
-        labelled.where("y_log_returns is not null"), fractions=FRACTIONS
-    )
+    # read twice: once for the dates, once for the rows
+    labelled = checkpoint(labelled.where("y_log_returns is not null"))
+    return with_holdout_split(labelled, fractions=FRACTIONS)
 
 
 def forecasts(spark: SparkSession, sf: str, group: str | None = "symbol") -> DataFrame:
     """Baseline forecasts (fit on train and val) on the rows of cal and test."""
-    rows = checkpoint(split_returns(spark, sf))
+    rows = split_returns(spark, sf)
     fitted = HistoricalQuantiles(TAUS, group).fit(
         rows.where("split in ('train', 'val')"), "y_log_returns"
     )

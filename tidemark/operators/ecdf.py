@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint
+from tidemark.session import checkpoint, shuffle_partitions
 
 
 def range_pieces(df: DataFrame, order: list[str], pieces: int | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def range_pieces(df: DataFrame, order: list[str], pieces: int | None = None) ->
     the numbered rows are checkpointed: what follows sees fixed pieces even if
     executors are lost.
     """
-    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = pieces or shuffle_partitions(df.sparkSession)
     return checkpoint(df.repartitionByRange(n, *order).withColumn("_piece", F.spark_partition_id()))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import BAR_COLUMNS
 from tidemark.functions.windows import PanelWindow
 from tidemark.schema import require_columns
+from tidemark.session import shuffle_partitions
 
 _VALUES = ["open", "high", "low", "close", "volume"]
 
@@ -57,6 +58,9 @@ def densify(bars: DataFrame, *, fill: bool = False, unique: bool = False) -> Dat
         ok = F.max((F.col("_dup") > 1) | F.col("date").isNull()).over(
             Window.partitionBy("symbol")
         ) == F.lit(False)
+    # Days multiply after this exchange. Coalescing by its few bytes would leave
+    # most cores idle in every later window, so the partition count is fixed.
+    days = days.repartition(shuffle_partitions(days.sparkSession), "symbol")
     following = w.lead("date")
     values = {c: w.ffill(c) if fill else F.col(c) for c in _VALUES}
     stretched = days.select(

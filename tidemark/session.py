@@ -21,6 +21,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise `df` in the reliable checkpoint folder and cut its lineage.
 
