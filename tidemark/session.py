@@ -17,6 +17,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # no call-site capture per column expression: plans here hold thousands
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # HotSpot never compiles methods above 8000 bytes of bytecode; let Spark split those
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
