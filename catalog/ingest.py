@@ -519,12 +519,13 @@ bars AS (SELECT b.* FROM mbars b JOIN once u ON u.symbol = b.symbol)""",
             SQL_DENSE,
             sql_quality("dense"),
         ],
-        """SELECT d.symbol, CAST(d.date AS VARCHAR) AS date, d.volume FROM dense d
+        """SELECT d.symbol, CAST(d.date AS VARCHAR) AS date, CAST(d.volume AS DOUBLE) AS volume FROM dense d
 JOIN qual q ON q.symbol = d.symbol WHERE n_pos + n_hl + n_vol + n_rel + n_ext = 0""",
     ),
 )
 def quality_gate(spark, sf):
-    return Q.quality_gate(T.densify(mixed_bars(spark, sf))).select("symbol", day(), "volume")
+    kept = Q.quality_gate(T.densify(mixed_bars(spark, sf)))
+    return kept.select("symbol", day(), F.col("volume").cast("double").alias("volume"))
 
 
 @query(
