@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality
+from tidemark.llm import decontaminate, quality, simhash, tokens
 from tidemark.llm.shared import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = table(spark, sf_dir, "benchmark")
+    hits = decontaminate.scan(documents(spark, sf_dir), benchmark, keep=["doc_id"])
+    return hits.select(
+        "doc_id",
+        F.col("hits.n_words").alias("n_words"),
+        F.col("hits.n_hit").alias("n_hit"),
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        F.col("hits.contaminated").alias("contaminated"),
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    return tokens.write_and_read(documents(spark, sf_dir), path)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(documents(spark, sf_dir))
+    return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.judge(docs).select(
+    return quality.judge(documents(spark, sf_dir)).select(
         "doc_id",
         *[
             F.col("quality")[c].alias(c)
@@ -28,5 +57,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op4_token_files,
+        op5_simhash_near_dedup,
+        op8_quality_rules,
+    )
+}
 SQL: dict[str, str] = {}
