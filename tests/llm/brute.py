@@ -120,3 +120,72 @@ def removed(docs, size=50):
         spans = len(re.findall(b"\1+", gone))
         kept = bytes(x for x, g in zip(b, gone) if not g)
         yield d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()
+
+
+BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
+
+
+def license_base(text):
+    """(n_words, n_base, first_word, last_word, base_labels)"""
+    w, starts, labels = plain(text), [], set()
+    for phrase, label in BASE_PHRASES:
+        p = phrase.split()
+        for i in range(len(w) - len(p) + 1):
+            if w[i : i + len(p)] == p:
+                starts.append(i)
+                labels.add(label)
+    first, last = (min(starts), max(starts)) if starts else (None, None)
+    return len(w), len(starts), first, last, ",".join(sorted(labels))
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal(text):
+    """(kind, start, end) of the base."""
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m.group().split(".")),
+                "card": lambda: 13 <= len(d) <= 19 and luhn(d),
+                "phone": lambda: 9 <= len(d) <= 15,
+            }[kind]()
+            if ok:
+                yield kind, m.start(), m.end()
+
+
+RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def url_parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    return host.translate(LOWER), re.match(r"[^?#]*", rest[len(host) :]).group()
+
+
+def url_rule(url):
+    host, path = url_parts(url)
+    fits = [
+        (len(r), r, a)
+        for r, a in RULES
+        for h, _, p in [r.partition("/")]
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p)
+    ]
+    return (host, path, *(max(fits)[1:] if fits else (None, None)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality, simhash, tokens
+from tidemark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, tokens, urls
 from tidemark.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -29,6 +29,31 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(documents(spark, sf_dir))
+    return scanned.select(
+        "doc_id",
+        *[
+            F.col("license")[c].alias(c)
+            for c in (
+                "n_words",
+                "n_base",
+                "first_word",
+                "last_word",
+                "base_labels",
+                "labels",
+                "score",
+            )
+        ],
+    )
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    drawn = mixing.draw(docs)
+    return drawn.select("doc_id", "source", "tokens", "epoch", "block", "place")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     return tokens.write_and_read(documents(spark, sf_dir), path)
@@ -39,6 +64,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge(pages)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(
+        "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    )
+    return sharding.assign(docs)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select(
         "doc_id",
@@ -57,13 +94,28 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    detected = pii.detect(documents(spark, sf_dir))
+    return detected.select(
+        "doc_id",
+        *[F.size(F.col(f"pii.{k}")).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.shown(kinds=pii.KINDS), 256).alias("base_sha256"),
+        pii.shown().alias("spans"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination,
+        op2_license_scan,
+        op3_source_mixing,
         op4_token_files,
         op5_simhash_near_dedup,
+        op6_url_filters,
+        op7_sharding,
         op8_quality_rules,
+        op9_personal_data,
     )
 }
 SQL: dict[str, str] = {}
