@@ -196,13 +196,15 @@ def draw(
         readings.where("not whole")
         .withColumn("upto", F.sum("tokens").over(within))
         .where("upto <= room")
+        .withColumn("inside", (F.col("upto") - F.col("tokens")).cast("double"))
         .drop("upto")
     )
     read = F.col("epoch") * F.col("total") + F.col("before")
     share = F.col("own") / float(1 << 32)
-    place = (read + F.col("held") * share) / (F.col("epochs") * F.col("total") + F.col("rest"))
+    place = (read + F.col("inside")) / (F.col("epochs") * F.col("total") + F.col("rest"))
     return (
         readings.where("whole")
+        .withColumn("inside", F.col("held") * share)
         .unionByName(edge)
         .select(
             "doc_id", "hash", "source", "tokens", "epoch", "block",

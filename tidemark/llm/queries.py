@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm.queries_text import QUERIES as _TEXT, SQL as _SQL
+import corpus_pipeline
+from tidemark.llm.queries_text import QUERIES as _TEXT
+from tidemark.llm.queries_text import SQL as _SQL
 
-QUERIES = dict(_TEXT)
+QUERIES = {**_TEXT, "pipeline": corpus_pipeline.run}
 SQL = dict(_SQL)
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import map_arrow, discard, fresh_path, shuffle_partitions, written
@@ -256,7 +256,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
         doc_ids: list[pa.Array] = []
         counts: list[int] = []
         parts: list[np.ndarray] = []
-        held = 0
+        held = before = 0
 
         def segment() -> pa.RecordBatch:
             ids = pa.concat_arrays(doc_ids)
@@ -264,12 +264,13 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
                 [
                     pa.array([part], pa.int32()),
                     pa.array([seq], pa.int32()),
+                    pa.array([before], pa.int64()),
                     pa.array([held], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([counts], pa.list_(pa.int64())),
                     pa.array([pack(np.concatenate(parts))], pa.binary()),
                 ],
-                names=["part", "seq", "n_tokens", "doc_ids", "doc_tokens", "codes"],
+                names=["part", "seq", "before", "n_tokens", "doc_ids", "doc_tokens", "codes"],
             )
 
         for batch in batches:
@@ -278,7 +279,8 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
                 ids = np.frombuffer(batch.column(3)[i].as_buffer(), f"<u{width}")
                 if held and held + len(ids) > SEGMENT_TOKENS:
                     yield segment()
-                    seq, held, doc_ids, counts, parts = seq + 1, 0, [], [], []
+                    seq, before, held = seq + 1, before + held, 0
+                    doc_ids, counts, parts = [], [], []
                 doc_ids.append(batch.column(0).slice(i, 1))
                 counts.append(len(ids))
                 parts.append(ids.astype("<u4"))
@@ -287,19 +289,18 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
             yield segment()
 
     map_arrow(dealt, run,
-        f"part int, seq int, n_tokens bigint, doc_ids array<{id_type.simpleString()}>, "
+        f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type.simpleString()}>, "
         "doc_tokens array<bigint>, codes binary",
     ).write.option("compression", "none").parquet(path)
     discard(encoded)
 
 
-def read_segments(docs_like: DataFrame, path: str) -> DataFrame:
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments under `path` with `start`, the number of ids in all segments before each.
 
-    Totals of the parts, one row for each task that wrote, make the first sum;
-    segments add up within their own part, so no window holds all of them.
+    A segment knows the ids before it in its own part. The parts' totals, one row for
+    each task that wrote, are summed on the driver and broadcast.
     """
-    spark = docs_like.sparkSession
     segments = spark.read.parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     before, bases = 0, {}
@@ -307,12 +308,9 @@ def read_segments(docs_like: DataFrame, path: str) -> DataFrame:
         bases[row["part"]] = before
         before += row["n"]
     base = spark.createDataFrame(list(bases.items()) or [(0, 0)], "part int, base bigint")
-    within = Window.partitionBy("part").orderBy("seq")
-    light = segments.select(
-        "part", "seq", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("inside")
-    ).join(base, "part")
-    starts = light.select("part", "seq", (F.col("base") + F.col("inside")).alias("start"))
-    return segments.join(starts, ["part", "seq"])
+    return segments.join(F.broadcast(base), "part").withColumn(
+        "start", F.col("base") + F.col("before")
+    )
 
 
 def documents(segments: DataFrame) -> DataFrame:
@@ -391,4 +389,4 @@ def write_and_read(docs: DataFrame, tokenizer: str, text: str = "text") -> DataF
     """What `documents` reads back from files freshly written to the shared folder."""
     path = fresh_path(docs.sparkSession, "token-files")
     write_files(docs, tokenizer, path, text)
-    return documents(read_segments(docs, path))
+    return documents(read_segments(docs.sparkSession, path))
