@@ -224,5 +224,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass every rule, with their own columns only."""
-    return judge(docs, rules).where("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass every rule, with their own columns only.
+
+    The verdict is exploded instead of filtered: a filter would be pushed below the
+    measures and carry a copy of each of their expressions.
+    """
+    verdict = F.explode(F.when(F.col("quality.kept"), F.array(F.lit(True))))
+    columns = [F.col("_row")[c].alias(c) for c in docs.columns]
+    # held in a struct, as `judge` replaces a column named quality
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    return judge(held, rules).withColumn("_kept", verdict).select(*columns)
