@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, tokens, urls
+from tidemark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, suffixes, tokens, urls
 from tidemark.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -104,6 +104,12 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,6 +122,7 @@ QUERIES = {
         op7_sharding,
         op8_quality_rules,
         op9_personal_data,
+        op10_suffix_array_dedup,
     )
 }
 SQL: dict[str, str] = {}
