@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import map_arrow, ascii_lower, shuffle_partitions, spaced_words, written
+from tidemark.llm.shared import ascii_lower, map_arrow, shuffle_partitions, spaced_words, written
 
 SHINGLE = 3
 DISTANCE = 3

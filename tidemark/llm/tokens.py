@@ -14,11 +14,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import map_arrow, discard, fresh_path, shuffle_partitions, written
+from tidemark.llm.shared import fresh_path, map_arrow, shuffle_partitions
 
 END = 1
 #: Tokens after which a segment is closed; it always holds whole documents.
 SEGMENT_TOKENS = 1 << 19
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 4 << 20
 #: Entries of a worker's caches; a full cache starts anew.
 CACHED = 600_000
 MAGIC = b"DAC1"
@@ -135,34 +137,36 @@ class WordEncoder:
     def _add_pieces(self, pieces: list[str]) -> None:
         """Many pieces as one text; their ids end at end-of-word tokens."""
         groups = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
+        width = self.kind.itemsize
         for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
             ids = np.array(ids, self.kind)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(group) and last[-1] == len(ids):
-                parts = np.split(ids, last[:-1])
+            last = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            raw = ids.tobytes()
+            if len(last) == len(group) and last[-1] == len(raw):
+                parts = [raw[i:j] for i, j in zip([0, *last[:-1]], last, strict=True)]
             else:
-                parts = [np.array(x, self.kind) for x in self._encode(group)]
-            self.pieces.update((p, x.tobytes()) for p, x in zip(group, parts, strict=True))
+                parts = [np.array(x, self.kind).tobytes() for x in self._encode(group)]
+            self.pieces.update(zip(group, parts, strict=True))
 
     def _add_chunks(self, chunks: set[bytes]) -> None:
-        plain, whole, wanted = [], [], set()
+        plain, heads, tails, whole = [], [], [], []
         for chunk in chunks:
             word = chunk.decode("utf-8", "surrogatepass")
             head = word.rstrip(_PUNCTUATION)
             if head.isalpha():
-                tail = word[len(head) :]
-                head = head.lower() if head.isascii() else head
-                plain.append((chunk, head, tail))
-                wanted.update((head, tail))
+                plain.append(chunk)
+                tails.append(word[len(head) :])
+                heads.append(head.lower() if head.isascii() else head)
             else:
                 whole.append(chunk)
+        wanted = set(heads).union(tails)
         if len(self.pieces) + len(wanted) > CACHED:
             self.pieces = {"": b""}
-        if len(self.chunks) + len(chunks) > CACHED:
-            self.chunks = {}
-        self._add_pieces([p for p in wanted if p not in self.pieces])
-        pieces = self.pieces
-        self.chunks.update((c, pieces[h] + pieces[t]) for c, h, t in plain)
+        self._add_pieces(list(wanted.difference(self.pieces)))
+        of = self.pieces.__getitem__
+        self.chunks.update(
+            (c, h + t) for c, h, t in zip(plain, map(of, heads), map(of, tails), strict=True)
+        )
         encoded = self._encode([c.decode("utf-8", "replace") for c in whole])
         self.chunks.update(
             (c, np.array(x, self.kind).tobytes()) for c, x in zip(whole, encoded, strict=True)
@@ -171,18 +175,14 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of `kind`."""
         split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for words in split:
-            missing.update(words)
-        known = self.chunks
-        missing = {w for w in missing if w not in known}
-        if len(known) + len(missing) > CACHED:
+        used = set().union(*split)
+        missing = used.difference(self.chunks)
+        if len(self.chunks) + len(missing) > CACHED:
             # a full cache starts anew, with all that these texts need
-            self.chunks = {}
-            missing = set().union(*split)
+            self.chunks, missing = {}, used
         self._add_chunks(missing)
-        known = self.chunks
-        return [b"".join([known[w] for w in words]) for words in split]
+        of = self.chunks.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -202,60 +202,31 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", end: int = END) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text and the end id, as little-endian bytes.
+# --- files -----------------------------------------------------------------------------
 
-    Ids take two bytes each if the vocabulary allows, else four; `width` says which.
+def write_files(
+    docs: DataFrame, tokenizer: str, path: str, text: str = "text", end: int = END
+) -> None:
+    """Encode every whole text and write the ids, `end` after each text, under `path`.
+
+    Files are segments of directly addressable codes and hold documents in ascending
+    doc_id order (null ids first; rows that share an id are ordered by their text and
+    each kept). Documents are dealt out by ranges of doc_id, and every task encodes
+    its own and writes segments of about SEGMENT_TOKENS ids. Spark commits a task's files
+    as a whole, so a lost executor leaves no half-written segment. Null and empty
+    texts are the end id alone; an empty table gives files without rows.
     """
+    n = shuffle_partitions(docs.sparkSession)
     source = docs.select("doc_id", F.col(f"`{text}`").cast("binary").alias("_text"))
+    dealt = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_text")
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        part, encoder, seq = TaskContext.get().partitionId(), _encoder(tokenizer), 0
         last = np.array([end], encoder.kind).tobytes()
-        width = encoder.kind.itemsize
-        for batch in batches:
-            doc_ids, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
-            for part in _slices([len(t) for t in texts], 4 << 20):
-                ids = [x + last for x in encoder.encode(texts[part])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids[part],
-                        pa.array([len(x) // width for x in ids], pa.int64()),
-                        pa.array([width] * len(ids), pa.int32()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "n_tokens", "width", "ids"],
-                )
-
-    return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, width int, ids binary"
-    )
-
-
-# --- files -----------------------------------------------------------------------------
-
-def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text") -> None:
-    """Encode `docs` and write them as segments of directly addressable codes under `path`.
-
-    Files hold documents in ascending doc_id order (null ids first; rows that
-    share an id are ordered by their ids and each kept). Encoded texts are written
-    once, so that dealing them out by ranges of doc_id repeats no encoding; every
-    task writes segments of about SEGMENT_TOKENS tokens. Spark commits a task's
-    files as a whole, so a lost executor leaves no half-written segment. Null and
-    empty texts are the end id alone; an empty table gives files without rows.
-    """
-    encoded = written(encode(docs, tokenizer, text), "encoded")
-    id_type = encoded.schema["doc_id"].dataType
-    dealt = encoded.repartitionByRange(
-        shuffle_partitions(docs.sparkSession), "doc_id"
-    ).sortWithinPartitions("doc_id", "ids")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        part, seq = context.partitionId() if context else 0, 0
         doc_ids: list[pa.Array] = []
         counts: list[int] = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         held = before = 0
 
         def segment() -> pa.RecordBatch:
@@ -268,31 +239,33 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
                     pa.array([held], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([pack(np.concatenate(parts))], pa.binary()),
+                    pa.array([pack(np.frombuffer(b"".join(parts), encoder.kind))], pa.binary()),
                 ],
                 names=["part", "seq", "before", "n_tokens", "doc_ids", "doc_tokens", "codes"],
             )
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                width = batch.column(2)[i].as_py()
-                ids = np.frombuffer(batch.column(3)[i].as_buffer(), f"<u{width}")
-                if held and held + len(ids) > SEGMENT_TOKENS:
-                    yield segment()
-                    seq, before, held = seq + 1, before + held, 0
-                    doc_ids, counts, parts = [], [], []
-                doc_ids.append(batch.column(0).slice(i, 1))
-                counts.append(len(ids))
-                parts.append(ids.astype("<u4"))
-                held += len(ids)
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for own in _slices([len(t) for t in texts], ENCODED_BYTES):
+                for i, ids in enumerate(encoder.encode(texts[own]), own.start):
+                    size = len(ids) // encoder.kind.itemsize + 1
+                    if held and held + size > SEGMENT_TOKENS:
+                        yield segment()
+                        seq, before, held = seq + 1, before + held, 0
+                        doc_ids, counts, parts = [], [], []
+                    doc_ids.append(batch.column(0).slice(i, 1))
+                    counts.append(size)
+                    parts += (ids, last)
+                    held += size
         if doc_ids:
             yield segment()
 
-    map_arrow(dealt, run,
-        f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type.simpleString()}>, "
+    map_arrow(
+        dealt,
+        run,
+        f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type}>, "
         "doc_tokens array<bigint>, codes binary",
-    ).write.option("compression", "none").parquet(path)
-    discard(encoded)
+    ).write.option("compression", "zstd").parquet(path)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
