@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import plain_words
+from tidemark.llm.shared import plain_words, written
 
 #: Words in a k-gram; the shortest template has as many.
 K = 2
@@ -102,6 +102,8 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text", notices=NOTICES)
             (F.col("_at") - F.col("place")).alias("diagonal"),
         )
     )
+    # few beside the k-grams they come from, and read twice below
+    votes = written(votes, "license-votes")
     long_one = F.col("length") > 8
     diagonals = votes.groupBy(*keys, "template", "label", "base", "length", "diagonal").agg(
         F.count_distinct("place").alias("votes"),
