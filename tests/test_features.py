@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import random_walk
-from tidemark.config import FeatureParams
+from tidemark.config import ChannelParams, FeatureParams
 from tidemark.functions import windows
 from tidemark.functions.windows import PanelWindow, Series, rolling
 from tidemark.operators import features as FE
@@ -80,12 +80,62 @@ def test_groups_join_to_the_whole_table(two):
     assert fewer.count() == 120
 
 
-def test_chunks_do_not_change_the_result(make_panel, monkeypatch):
-    panel = make_panel({"A": random_walk(5, 1500), "B": random_walk(6, 900)})
-    whole = collect(FE.build_features(panel))
-    monkeypatch.setattr(windows, "CHUNK_ROWS", 400)
-    chunked = collect(FE.build_features(panel))
-    pd.testing.assert_frame_equal(whole, chunked, rtol=1e-9, atol=1e-12)
+@pytest.mark.parametrize(
+    "p",
+    [
+        FeatureParams(1),
+        FeatureParams(3),
+        FeatureParams(20),
+        FeatureParams(5, short=3, long=10),
+        FeatureParams(2, short=2, long=3, channel_windows=ChannelParams(5, 10, 15, 5, 3, 5)),
+    ],
+    ids=["h1", "h3", "h20", "h5-3-10", "h2-2-3"],
+)
+def test_ewm_of_any_window_and_length_of_symbol(make_panel, monkeypatch, p):
+    """EWM columns match pandas on a long symbol, and shorter chunks change no feature."""
+    size = windows.chunks_for(p.spans, p.look_back)
+    n = max(1500, size.rows // 2)
+    closes = random_walk(5, n)
+    panel = make_panel({"A": closes, "B": random_walk(6, 300)})
+    columns = ["symbol", "date", "rsi_ewm", "short_vol_ewm", "long_vol_ewm", "vol_of_vol_ewm"]
+    volatility = ["vol_ratio", "vol_expansion"]
+
+    def built():
+        df = FE.add_groups(FE.add_returns(FE.prepare(panel, p), p), p, set(FE.GROUP_COLUMNS))
+        return collect(FE.finish(df, [*columns, *volatility, "cmo", "atr", "iqr_vol"]))
+
+    whole = built()
+    shorter = windows.Chunks(size.run_up + 7, size.run_up)
+    monkeypatch.setattr(windows, "chunks_for", lambda *_: shorter)
+    chunked = built()
+    monkeypatch.undo()
+    pd.testing.assert_frame_equal(whole, chunked, rtol=1e-8, atol=1e-12)
+
+    r = np.log(pd.Series(closes)).diff()
+    up, down = r.clip(lower=0).fillna(0), (-r).clip(lower=0).fillna(0)
+    mean = lambda x: x.ewm(span=p.basic_window).mean()
+
+    def deviation(span):
+        std = r.ewm(span=span).std()
+        std.iloc[1] = 0.0
+        return std.shift(1)
+
+    want = {
+        "rsi_ewm": 100 - 100 / (1 + mean(up) / (mean(down) + 1e-8)),
+        "short_vol_ewm": deviation(p.short_window),
+        "long_vol_ewm": deviation(p.long_window),
+        "vol_of_vol_ewm": deviation(p.short_window).rolling(p.long_window).std(),
+    }
+    mine = whole[whole.symbol == "A"].reset_index(drop=True)
+    for c, x in want.items():
+        np.testing.assert_allclose(mine[c].astype(float), x, rtol=1e-6, atol=1e-9, err_msg=c)
+    assert np.isfinite(mine[volatility].iloc[2 * p.long_window + 3 :].astype(float)).all().all()
+
+
+def test_spans_too_far_apart_are_refused():
+    with pytest.raises(ValueError):
+        windows.chunks_for([3, 500], 20)
+    assert windows.chunks_for([1], 20).run_up == 20
 
 
 def test_flat_prices_give_no_errors(make_panel):

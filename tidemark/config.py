@@ -83,20 +83,34 @@ MODEL_FEATURES = (
 )
 
 
+@dataclass(frozen=True)
+class ChannelParams:
+    p1: int = 6
+    p2: int = 9
+    p3: int = 12
+    atr_n: int = 6
+    slope_window: int = 6
+    persist_window: int = 9
+
+
 @dataclass(frozen=True)
 class FeatureParams:
-    """Window lengths, all derived from the forecast horizon in rows."""
+    """Window lengths in rows. Those not given are derived from the forecast horizon."""
 
+    # fixed values
     horizon: int = 3
     past_horizon: int = 7 * 280
+    short: int | None = None
+    long: int | None = None
+    channel_windows: ChannelParams | None = None
 
     @property
     def short_window(self) -> int:
-        return 3 * self.horizon
+        return 3 * self.horizon if self.short is None else self.short
 
     @property
     def long_window(self) -> int:
-        return 5 * self.horizon
+        return 5 * self.horizon if self.long is None else self.long
 
     @property
     def basic_window(self) -> int:
@@ -109,17 +123,19 @@ class FeatureParams:
     @property
     def channel(self) -> ChannelParams:
         h = self.horizon
-        return ChannelParams(2 * h, 3 * h, 4 * h, 2 * h, 2 * h, 3 * h)
+        return self.channel_windows or ChannelParams(2 * h, 3 * h, 4 * h, 2 * h, 2 * h, 3 * h)
 
+    @property
+    def spans(self) -> list[int]:
+        """Of the exponentially weighted columns."""
+        return [self.basic_window, self.long_window, self.short_window]
 
-@dataclass(frozen=True)
-class ChannelParams:
-    p1: int = 6
-    p2: int = 9
-    p3: int = 12
-    atr_n: int = 6
-    slope_window: int = 6
-    persist_window: int = 9
+    @property
+    def look_back(self) -> int:
+        """Rows that no chain of frames and lags reaches beyond."""
+        c = self.channel
+        frames = 2 * self.long_window + self.short_window + self.basic_window + self.iqr_window
+        return frames + c.p1 + c.p2 + c.p3 + c.atr_n + c.slope_window + c.persist_window + 8
 
 
 @dataclass(frozen=True)

@@ -15,10 +15,37 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import sdiv
 
-#: rows per chunk plus its run-up. (1 - 2/(9+1)) ** -3000 is about 1e291, the
-#: largest power the running EWM sums may need, so it must not grow.
-CHUNK_ROWS = 2640
-RUN_UP_ROWS = 360
+#: Largest power (as a natural logarithm) that the running EWM sums may hold, below the double's.
+LARGEST_LOG = 290 * math.log(10)
+#: A row's weight (as a natural logarithm) from which on it no longer changes a double.
+LEAST_LOG = 41.5
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """Rows of a chunk and of the run-up before it, whatever the length of a symbol."""
+
+    rows: int
+    run_up: int
+
+
+def chunks_for(spans: list[int], look_back: int) -> Chunks:
+    """Chunk and run-up that suit the EWM `spans` and row frames of `look_back` rows.
+
+    The shortest span bounds the rows that one running sum may cover; the longest
+    one says for how many rows a value counts. Spans of 1 have no memory.
+    """
+    decay = [-math.log(1.0 - 2.0 / (n + 1.0)) for n in spans if n > 1]
+    if not decay:
+        return Chunks(max(2000, look_back), look_back)
+    most = int(LARGEST_LOG / max(decay))
+    run_up = look_back + math.ceil(LEAST_LOG / min(decay))
+    if most < 2 * run_up:
+        raise ValueError(
+            f"EWM spans {sorted(spans)} are too far apart: the longest needs {run_up} rows of "
+            f"run-up, the shortest allows {most} rows in all"
+        )
+    return Chunks(most - run_up, run_up)
 
 
 @dataclass(frozen=True)
@@ -147,17 +174,18 @@ def correlation(xs: list[Column], ys: list[Column]) -> Column:
     return sdiv(dot(dx, dy), F.sqrt(dot(dx, dx)) * F.sqrt(dot(dy, dy)))
 
 
-def with_chunks(df: DataFrame, position: str, keys=("symbol",), chunk: str = "_chunk") -> DataFrame:
-    """Cut each key's rows into chunks of CHUNK_ROWS, each with a run-up.
+def with_chunks(
+    df: DataFrame, position: str, size: Chunks, keys=("symbol",), chunk: str = "_chunk"
+) -> DataFrame:
+    """Cut each key's rows into chunks of `size.rows`, each with a run-up.
 
-    The last RUN_UP_ROWS rows of a chunk are repeated at the start of the next
-    one, flagged `_run_up`. Every feature looks back fewer rows than that (the
-    EWM weights fall below 1e-18), so a chunk is computed on its own and the
-    run-up rows are dropped afterwards. Keys of up to CHUNK_ROWS - RUN_UP_ROWS
-    rows (six years of days) are not duplicated at all.
+    The last `size.run_up` rows of a chunk are repeated at the start of the next
+    one, flagged `_run_up`. Every feature looks back fewer rows than that, so a chunk
+    is computed on its own and the run-up rows are dropped afterwards. Keys that end
+    before the first run-up are not duplicated at all.
     """
-    home = F.floor(F.col(position) / CHUNK_ROWS).cast("int")
-    tail = (F.col(position) % CHUNK_ROWS) >= (CHUNK_ROWS - RUN_UP_ROWS)
+    home = F.floor(F.col(position) / size.rows).cast("int")
+    tail = (F.col(position) % size.rows) >= (size.rows - size.run_up)
     copies = F.when(tail, F.array(home, home + 1)).otherwise(F.array(home))
     return df.withColumn(chunk, F.explode(copies)).withColumn("_run_up", F.col(chunk) != home)
 
@@ -169,7 +197,9 @@ class Ewm:
         sum_i q^(k-i) x_i  =  running_sum(x_i * u_i) / u_k,
     which one expanding window computes in O(n). Partitions are chunks of
     bounded length (`with_chunks`), so u stays inside double range. `up` is a
-    column holding u (see `ewm_weight`). Weights count from the first non-null x.
+    column holding u (see `ewm_weight`). Weights count from the first non-null x. A
+    span of 1 gives all weight to the row itself: its mean is x and, from the second
+    value on, its deviation is missing.
     """
 
     def __init__(self, window: PanelWindow, span: int, up: str):
@@ -184,10 +214,14 @@ class Ewm:
         return F.sum(F.when(x.isNotNull(), self.up)).over(self.w.expanding) / self.up
 
     def mean(self, x: Column) -> Column:
+        if self.q == 0.0:
+            return x
         return F.when(x.isNotNull(), self._sum(x) / self._weight(x))
 
     def std(self, x: Column) -> Column:
         """Unbiased (reliability-weight) deviation; 0.0 at the first observation."""
+        if self.q == 0.0:
+            return F.when(x.isNotNull() & (F.count(x).over(self.w.expanding) == 1), F.lit(0.0))
         w1 = self._weight(x)
         # w1 = (1 - q^n) / (1 - q) gives q^n, and with it the sum of squared weights
         qn = 1.0 - w1 * (1.0 - self.q)
@@ -203,4 +237,6 @@ class Ewm:
 
 def ewm_weight(span: int, position: str = "_k") -> Column:
     """q^-k for row number k, the growing weight of the running EWM sums."""
+    if span == 1:
+        return F.lit(1.0)
     return F.pow(F.lit(1.0 - 2.0 / (span + 1.0)), -F.col(position))

@@ -102,11 +102,10 @@ def prepare(panel: DataFrame, p: FeatureParams = FeatureParams()) -> DataFrame:
     ahead = filled.withColumn(
         "y_log_returns", _BY_SYMBOL.lead("_ln", p.horizon) - F.col("_ln")
     ).withColumn("_pos", F.row_number().over(_BY_SYMBOL.spec) - 1)
-    chunked = with_chunks(ahead, "_pos")
+    size = windows.chunks_for(p.spans, p.look_back)
+    chunked = with_chunks(ahead, "_pos", size)
     # row number inside the chunk, the clock of the EWM weights
-    start = F.greatest(
-        F.col("_chunk") * windows.CHUNK_ROWS - windows.RUN_UP_ROWS, F.lit(0)
-    )
+    start = F.greatest(F.col("_chunk") * size.rows - size.run_up, F.lit(0))
     return chunked.withColumn("_k", F.col("_pos") - start)
 
 
