@@ -20,6 +20,7 @@ from catalog.base import (
     table,
     with_ctes,
 )
+from tidemark.config import QualityRules
 from tidemark.operators import ingest as I
 from tidemark.operators import quality as Q
 from tidemark.operators import timeline as T
@@ -511,12 +512,12 @@ def quality_report(spark, sf):
     "quality_gate",
     with_ctes(
         [
-            SQL_META,
-            SQL_MIXED,
+            # read several times below, so worked out once
+            SQL_MIXED.replace("mbars AS (", "mbars AS MATERIALIZED ("),
             """once AS (SELECT symbol FROM (SELECT symbol, date, count(*) AS n FROM mbars
        GROUP BY symbol, date) GROUP BY symbol HAVING max(n) = 1),
-bars AS (SELECT b.* FROM mbars b JOIN once u ON u.symbol = b.symbol)""",
-            SQL_DENSE,
+bars AS MATERIALIZED (SELECT b.* FROM mbars b JOIN once u ON u.symbol = b.symbol)""",
+            SQL_DENSE.replace("dense AS (", "dense AS MATERIALIZED ("),
             sql_quality("dense"),
         ],
         """SELECT d.symbol, CAST(d.date AS VARCHAR) AS date, CAST(d.volume AS DOUBLE) AS volume FROM dense d
@@ -544,3 +545,62 @@ def quality_summary(spark, sf):
         F.when(F.col("summary").contains("PASSED"), "PASSED").otherwise("FAILED").alias("verdict"),
         F.size(F.split("summary", "\n")).alias("n_lines"),
     )
+
+
+# every check fails somewhere: signs, highs and lows, volumes and opens are bent on some days of
+# the month, of all symbols or of every fifth one
+_BENT = {"close": 3, "swap": 7, "volume": 11, "open": 15}
+_TURN = {"close": 0, "swap": 1, "volume": 2, "open": 3}
+
+
+def bent_panel(spark, sf):
+    df = unit_price_panel(spark, sf)
+    number = F.substring("symbol", 2, 20).cast("int") % 5
+    on = lambda what: (
+        (F.dayofmonth("date") == _BENT[what]) & ((number == _TURN[what]) | (number == 4))
+    )
+    return df.withColumns(
+        {
+            "close": F.when(on("close"), -F.col("close")).otherwise(F.col("close")),
+            "high": F.when(on("swap"), F.col("low")).otherwise(F.col("high")),
+            "low": F.when(on("swap"), F.col("high")).otherwise(F.col("low")),
+            "volume": F.when(on("volume"), -F.col("volume")).otherwise(F.col("volume")),
+            "open": F.when(on("open"), F.col("high") * 2).otherwise(F.col("open")),
+        }
+    )
+
+
+def _sql_bent(what: str) -> str:
+    number = "CAST(substr(symbol, 2) AS INTEGER) % 5"
+    return f"day(date) = {_BENT[what]} AND ({number} = {_TURN[what]} OR {number} = 4)"
+
+
+SQL_BENT = f"""bent AS MATERIALIZED (SELECT symbol, date,
+  CASE WHEN {_sql_bent("open")} THEN high * 2 ELSE open END AS open,
+  CASE WHEN {_sql_bent("swap")} THEN low ELSE high END AS high,
+  CASE WHEN {_sql_bent("swap")} THEN high ELSE low END AS low,
+  CASE WHEN {_sql_bent("close")} THEN -close ELSE close END AS close,
+  CASE WHEN {_sql_bent("volume")} THEN -volume ELSE volume END AS volume FROM dense)"""
+
+
+@query(
+    "quality_checks",
+    with_ctes(
+        [SQL_UNIT, SQL_BARS, SQL_DENSE, SQL_BENT, sql_quality("bent")],
+        """SELECT symbol, n_pos AS n_price_positivity, n_hl AS n_high_low_consistency,
+  n_vol AS n_volume_non_negative, n_rel AS n_ohlc_relationships,
+  n_ext AS n_extreme_price_movements, total_rows_checked,
+  concat_ws(',', CASE WHEN n_pos > 0 THEN 'price_positivity' END,
+    CASE WHEN n_hl > 0 THEN 'high_low_consistency' END,
+    CASE WHEN n_vol > 0 THEN 'volume_non_negative' END,
+    CASE WHEN n_rel > 0 THEN 'ohlc_relationships' END,
+    CASE WHEN n_ext > 0 THEN 'extreme_price_movements' END) AS failed_checks FROM qual""",
+    ),
+)
+def quality_checks(spark, sf):
+    panel = bent_panel(spark, sf)
+    counts = Q.quality_counts(panel, QualityRules()).drop("_present", "_warnings", "total_rows_checked")
+    failed = Q.quality_report(panel).select(
+        "symbol", "total_rows_checked", F.concat_ws(",", "failed_checks").alias("failed_checks")
+    )
+    return counts.join(failed, "symbol")

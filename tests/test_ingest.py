@@ -165,3 +165,18 @@ def test_bars_open_and_close_follow_the_total_order(spark):
     assert make_bars(t, **args, start="2023-01-02").count() == 1
     with pytest.raises(ValueError):
         make_bars(t, **args, interval="7m")
+
+
+@pytest.mark.parametrize("crash", ["while writing", "between the renames"])
+def test_a_broken_overwrite_loses_no_history(spark, tmp_path, make_panel, crash):
+    path = str(tmp_path / "history")
+    old = make_panel({"A": [1.0, 2.0, 3.0]})
+    S.overwrite_parquet(old, path)
+    (tmp_path / "history.staging-x").mkdir()
+    if crash == "between the renames":
+        (tmp_path / "history").rename(tmp_path / "history.previous-x")
+    assert S.read_bars(spark, path).count() == 3
+    S.overwrite_parquet(S.read_bars(spark, path).where("close > 1"), path)
+    assert S.read_bars(spark, path).count() == 2
+    assert not list(tmp_path.glob("history.previous-*"))
+    assert S.read_bars(spark, str(tmp_path / "none")).isEmpty()
