@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, suffixes, tokens, urls
+from tidemark.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    sql,
+    suffixes,
+    tokens,
+    urls,
+)
 from tidemark.llm.shared import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -125,4 +137,10 @@ QUERIES = {
         op10_suffix_array_dedup,
     )
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_benchmark_decontamination": sql.op1(),
+    "op2_license_scan": sql.op2(),
+    "op7_sharding": sql.op7(),
+    "op8_quality_rules": sql.op8(),
+    "op10_suffix_array_dedup": sql.op10(),
+}
