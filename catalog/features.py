@@ -381,19 +381,48 @@ feature_query(
 
 # --- the whole table ------------------------------------------------------------------------------
 
-_TABLE = {"close": 6, "log_returns_d": 9, "y_log_returns": 9, "sharpe_ratio_proxy": 6,
-          "turnover_proxy": 6, "autocorr_r2": 6, "iqr_vol": 9, "cmo": 6, "vol_of_vol_ewm": 7,
-          "span_a_slope": 6, "above_cloud_persist": 6, "twist_recent": 0, "atr": 6}
-SQL_TABLE = """ft AS (SELECT a.symbol, a.date, a.close, a.r AS log_returns_d, a.y AS y_log_returns,
-  st.sharpe_ratio_proxy, lq.turnover_proxy, ac.autocorr_r2, iq.iqr_vol, mo.cmo, vf.vol_of_vol_ewm,
-  sl.span_a_slope, rgm.above_cloud_persist, rgm.twist_recent, rgm.atr
+# All columns of the table but the fourteen quotients whose divisor can be rounding noise; the
+# queries above compare those where it is not.
+_TABLE = {
+    **{c: 6 for c in ("open", "high", "low", "close")},
+    **{c: 0 for c in ("volume", "year", "month", "day_of_week", "day_of_year")},
+    **{c: 9 for c in ("log_returns_d", "log_returns_ratio", "y_log_returns", "iqr_vol")},
+    **{c: 6 for c in ("rsi_ewm", "sortino_ratio", "sharpe_ratio_proxy", "turnover_proxy", "cmo")},
+    "amihud_illiq": (3, 1e9),
+    "autocorr_r2": 6,
+    "long_short_momentum": 9,
+    "vol_of_vol_ewm": 7,
+    **{c: 6 for c in (*_SLOPES, "above_cloud_persist", "below_cloud_persist", "atr")},
+    **{
+        c: 0
+        for c in ("above_cloud", "between_cloud", "below_cloud", "tenkan_cross_up",
+                  "tenkan_cross_dn", "price_break_up", "price_break_dn", "twist_event",
+                  "twist_recent")
+    },
+}
+SQL_SLOPES = (
+    "sl AS (SELECT symbol, date, "
+    + ", ".join(f"({x} - lag({x}, 6) OVER w) / 6 AS {n}" for n, x in _SLOPES.items())
+    + " FROM ch WINDOW w AS (PARTITION BY symbol ORDER BY date))"
+)
+SQL_TABLE = f"""ft AS (SELECT a.symbol, a.date, a.open, a.high, a.low, a.close, a.volume,
+  year(a.date) AS year, month(a.date) AS month, isodow(a.date) AS day_of_week,
+  dayofyear(a.date) AS day_of_year, a.r AS log_returns_d, a.rr AS log_returns_ratio,
+  a.y AS y_log_returns, rsi.rsi_ewm, st.sortino_ratio, st.sharpe_ratio_proxy, lq.amihud_illiq,
+  lq.turnover_proxy, ac.autocorr_r2, iq.iqr_vol, mo.long_short_momentum, mo.cmo, vf.vol_of_vol_ewm,
+  {", ".join(f"sl.{c}" for c in _SLOPES)}, g.above_cloud, g.between_cloud, g.below_cloud,
+  g.above_cloud_persist, g.below_cloud_persist, g.tenkan_cross_up, g.tenkan_cross_dn,
+  g.price_break_up, g.price_break_dn, g.twist_event, g.twist_recent, g.atr
   FROM rets a JOIN st USING (symbol, date) JOIN lq USING (symbol, date)
   JOIN ac USING (symbol, date) JOIN iq USING (symbol, date) JOIN mo USING (symbol, date)
-  JOIN vf USING (symbol, date) JOIN rgm USING (symbol, date) JOIN sl USING (symbol, date))"""
-CTES_TABLE = [*CTES_REGIME, SQL_UPDN, SQL_STRENGTH, SQL_LIQUIDITY, SQL_AUTOCORR, SQL_IQR,
-              SQL_MOMENTUM, SQL_VOL,
-              "sl AS (SELECT symbol, date, (span_a_now - lag(span_a_now, 6) OVER"
-              " (PARTITION BY symbol ORDER BY date)) / 6 AS span_a_slope FROM ch)", SQL_TABLE]
+  JOIN vf USING (symbol, date) JOIN rgm g USING (symbol, date) JOIN sl USING (symbol, date)
+  JOIN rsi USING (symbol, date))"""
+CTES_TABLE = [
+    # every group reads these, so they are worked out once
+    *[c.replace("rets AS (", "rets AS MATERIALIZED (", 1) for c in CTES_REGIME],
+    SQL_UPDN, SQL_STRENGTH, SQL_LIQUIDITY, SQL_AUTOCORR, SQL_IQR, SQL_MOMENTUM, SQL_VOL, SQL_RSI,
+    SQL_SLOPES, SQL_TABLE,
+]
 
 feature_query(
     "feature_table", CTES_TABLE, "ft", _TABLE,
