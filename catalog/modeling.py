@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import (
@@ -488,7 +490,7 @@ def _features(spark, sf):
     return checkpoint(build_features(panel(spark, sf)))
 
 
-SMALL = ModelParams(num_trees=10, tree_step=5)
+MODEL = ModelParams()
 
 
 @query("grouped_pca")
@@ -501,26 +503,28 @@ def grouped_pca(spark, sf):
 
 @query("quantile_forest")
 def quantile_forest(spark, sf):
-    trained = TR.train(_features(spark, sf), SMALL)
+    trained = TR.train(_features(spark, sf), MODEL)
     return levels(trained.score(trained.sets.where("split = 'test'")))
 
 
 @query("trained_vs_baseline")
 def trained_vs_baseline(spark, sf):
-    return TR.evaluate(TR.train(_features(spark, sf), SMALL))
+    return TR.evaluate(TR.train(_features(spark, sf), MODEL))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    trained = TR.train(_features(spark, sf), SMALL)
+    trained = TR.train(_features(spark, sf), MODEL)
     return trained.model.importance(spark)
 
 
 @query("score_quantiles")
 def score_quantiles(spark, sf):
     p = panel(spark, sf)
-    trained = TR.train(checkpoint(build_features(p)), SMALL)
-    scored = trained.score(S.inference_features(p))
+    # scored by what another session would load
+    path = f"{spark.sparkContext.getCheckpointDir()}/trained-{uuid.uuid4().hex}"
+    TR.train(checkpoint(build_features(p)), MODEL).save(path)
+    scored = TR.Trained.load(spark, path).score(S.inference_features(p))
     out = S.quantile_columns(scored, "yq", TAUS)
     return out.select(
         "symbol", day(), *[c for c in out.columns if c.startswith("pred_Q_")], "lower", "upper"

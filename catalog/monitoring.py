@@ -24,7 +24,7 @@ from catalog.modeling import (
     _E,
     _MEAN,
     _P,
-    SMALL,
+    MODEL,
     SQL_CRPS,
     SQL_ECE,
     SQL_KEYS,
@@ -454,7 +454,7 @@ def monitoring_run(spark, sf):
     from tidemark.sources.tables import last_labelled_days
 
     feats = checkpoint(build_features(panel(spark, sf), P))
-    trained = train(feats, SMALL)
+    trained = train(feats, MODEL)
     ref = checkpoint(trained.score(trained.sets.where("split = 'test'")))
     cur = checkpoint(trained.score(last_labelled_days(feats, 196)))
     return M.run_monitoring(

@@ -4,12 +4,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import random_walk
 from tidemark.config import FEATURE_GROUPS, MODEL_FEATURES, ModelParams
 from tidemark.functions import arrays as A
 from tidemark.operators import models as M
 from tidemark.operators import score as S
 from tidemark.operators import splits as L
 from tidemark.operators import transforms as T
+from tidemark.operators.features import build_features
+from tidemark.operators.transforms import out_of_fold_means
+from tidemark.plans.train import Trained, evaluate, train
 
 TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
 DAYS = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(100)]
@@ -121,3 +125,28 @@ def test_latest_rows_and_columns(spark):
     assert S.latest_rows(df, 30).count() == 60
     assert S.latest_rows(df.withColumn("t", F.when(F.col("x") < 50, 1)), 1, "t").first().x == 49.0
     assert "pred_Q_25" in S.quantile_columns(df, "yq", TAUS).columns
+
+
+def test_out_of_fold_codes_leave_out_their_own_targets(spark):
+    rows = [("A", i, float(i)) for i in range(10)] + [("B", 0, 5.0)]
+    df = spark.createDataFrame(rows, "s string, d int, y double")
+    got = out_of_fold_means(df, "s", "y", F.col("d") % 2, smoothing=1.0).collect()
+    overall = sum(r[2] for r in rows) / len(rows)
+    means = {(r.s, r.fold): r.encoded for r in got}
+    assert means["A", 0] == pytest.approx((25 + overall) / 6)
+    assert means["A", 1] == pytest.approx((20 + overall) / 6)
+    assert means["B", 0] == pytest.approx(overall)
+
+
+def test_a_trained_model_scores_alike_when_loaded(spark, make_panel, tmp_path):
+    panel = make_panel({s: random_walk(i, 500) for i, s in enumerate("AB")})
+    features = build_features(panel)
+    trained = train(features, ModelParams(num_trees=2, tree_step=2, max_depth=2))
+    trained.save(str(tmp_path / "t"))
+    again = Trained.load(spark, str(tmp_path / "t"))
+    assert again.params == trained.params
+    test = trained.sets.where("split = 'test'")
+    assert again.sets.where("split = 'test'").count() == test.count() > 0
+    show = lambda t: t.score(test).select("symbol", "date", "yq", "lower", "upper")
+    assert show(trained).exceptAll(show(again)).isEmpty()
+    assert evaluate(again).count() == evaluate(trained).count() > 0

@@ -16,7 +16,15 @@ from tidemark.functions import arrays as A
 from tidemark.functions.scalars import clean_double, double_array, sdiv
 from tidemark.operators.ecdf import exact_quantiles
 from tidemark.operators.evaluate import pinball
-from tidemark.operators.transforms import GroupedPca, encode_category, target_means
+from tidemark.operators.transforms import (
+    GroupedPca,
+    encode_category,
+    out_of_fold_means,
+    target_means,
+)
+
+#: Days of a block and number of folds that blocks are dealt to, for out-of-fold codes.
+FOLD_DAYS, FOLDS = 28, 5
 
 
 @dataclass
@@ -55,6 +63,26 @@ class HistoricalQuantiles:
         )
 
 
+def save_baseline(baseline: HistoricalQuantiles, path: str) -> None:
+    state = {
+        "quantiles": list(baseline.quantiles),
+        "group_col": baseline.group_col,
+        "overall": baseline.overall,
+    }
+    _session().createDataFrame([(json.dumps(state),)], "state string").write.mode(
+        "overwrite"
+    ).parquet(f"{path}/state")
+    if baseline.per_group is not None:
+        baseline.per_group.write.mode("overwrite").parquet(f"{path}/groups")
+
+
+def load_baseline(path: str) -> HistoricalQuantiles:
+    spark = _session()
+    state = json.loads(spark.read.parquet(f"{path}/state").first().state)
+    groups = spark.read.parquet(f"{path}/groups") if state["group_col"] else None
+    return HistoricalQuantiles(**state, per_group=groups)
+
+
 def median_of(yq: str, n: int) -> Column:
     return F.get(F.col(yq), F.lit(n // 2))
 
@@ -225,5 +253,30 @@ class Preprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         df = self.pca.transform(df)
         df = encode_category(df, self.symbol_means, "symbol", "symbol_code", self.default)
+        return self._with_plain(df)
+
+    def transform_fitted(self, df: DataFrame, target: str) -> DataFrame:
+        """The rows this was fitted on, their symbol encoded from other blocks of days only."""
+        fold = F.pmod(F.floor(F.unix_date(F.to_date("date")) / FOLD_DAYS), F.lit(FOLDS))
+        means = out_of_fold_means(df, "symbol", target, fold)
+        df = self.pca.transform(df).withColumn("fold", fold)
+        df = df.join(means.withColumnRenamed("encoded", "symbol_code"), ["symbol", "fold"], "left")
+        return self._with_plain(df.drop("fold"))
+
+    def _with_plain(self, df: DataFrame) -> DataFrame:
         plain = {c: F.coalesce(clean_double(c), F.lit(0.0)) for c in PASSTHROUGH_FEATURES}
         return df.withColumns(plain)
+
+    def save(self, path: str) -> None:
+        self.symbol_means.write.mode("overwrite").parquet(f"{path}/symbols")
+        state = {"pca": self.pca.to_json(), "default": self.default}
+        _session().createDataFrame([(json.dumps(state),)], "state string").write.mode(
+            "overwrite"
+        ).parquet(f"{path}/state")
+
+    @classmethod
+    def load(cls, path: str) -> Preprocessor:
+        spark = _session()
+        state = json.loads(spark.read.parquet(f"{path}/state").first().state)
+        means = spark.read.parquet(f"{path}/symbols")
+        return cls(GroupedPca.from_json(state["pca"]), means, state["default"])
