@@ -114,33 +114,47 @@ class Chunk:
 
     def _room(self, size: int) -> np.ndarray:
         """Places from which `size` bytes stay within their document, if that has SIZE bytes."""
-        left = np.repeat(self.starts + self.lengths, self.lengths) - np.arange(len(self.text))
-        return (left >= size) & np.repeat(self.lengths >= SIZE, self.lengths)
+        steps = np.zeros(len(self.text) + 1, np.int8)
+        long = self.lengths >= SIZE
+        steps[self.starts[long]] += 1
+        steps[(self.starts + self.lengths - size + 1)[long]] -= 1
+        return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
 
     def samples(self) -> Entries:
         """The cover's suffixes, by the bytes that any two equal strings share from there on."""
         size = SIZE - PERIOD + 1
-        at = np.arange(len(self.text)) - np.repeat(self.starts, self.lengths)
         on = np.zeros(PERIOD, bool)
         on[list(COVER)] = True
-        places = np.flatnonzero(on[at % PERIOD] & self._room(size))
-        keys = window_hashes(self.text, size)
-        return Entries(places, keys[places], None, self.ids[self.doc[places]])
+        most = int(self.lengths.max())
+        pattern = np.tile(on, most // PERIOD + 1)
+        room = self._room(size)
+        for start, length in zip(self.starts, self.lengths, strict=True):
+            room[start : start + length] &= pattern[:length]
+        places = np.flatnonzero(room)
+        keys = window_hashes(self.text, size)[places] if len(places) else np.zeros(0, np.uint64)
+        return Entries(places, keys, None, self.ids[self.doc[places]])
 
     def suffixes(self, repeated: np.ndarray) -> Entries:
         """The suffixes with a repeated sample in reach, by their first SIZE bytes."""
-        marks = np.zeros(len(self.text) + 1, np.int64)
-        marks[repeated + 1] = 1
-        before = np.cumsum(marks)
-        reach = np.minimum(np.arange(len(self.text)) + PERIOD, len(self.text))
-        near = before[reach] > before[:-1]
-        places = np.flatnonzero(near & self._room(SIZE))
-        return Entries(
-            places,
-            window_hashes(self.text, SIZE)[places],
-            window_hashes(self.text, SIZE, 1)[places] >> np.uint64(24),
-            self.ids[self.doc[places]],
-        )
+        # the places in reach of each sample that those of the one before don't hold already
+        before = np.concatenate([[-1], repeated[:-1]]) if len(repeated) else repeated
+        low = np.maximum(repeated - (PERIOD - 1), before + 1)
+        places = _ranges(low, repeated + 1)
+        places = places[self._room(SIZE)[places]]
+        text, at = self._around(places)
+        keys = [window_hashes(text, SIZE, which)[at] for which in (0, 1)]
+        return Entries(places, keys[0], keys[1] >> np.uint64(24), self.ids[self.doc[places]])
+
+    def _around(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The SIZE bytes from each of `places` (ascending), shared ones once, and where each begins."""
+        if not len(places):
+            return np.zeros(SIZE, np.uint8), places
+        new = np.flatnonzero(np.diff(places, prepend=places[0] - SIZE - 1) > SIZE)
+        begin = places[new]
+        end = places[np.concatenate([new[1:] - 1, [len(places) - 1]])] + SIZE
+        offset = np.cumsum(end - begin) - (end - begin)
+        counts = np.diff(np.concatenate([new, [len(places)]]))
+        return self.text[_ranges(begin, end)], places - np.repeat(begin - offset, counts)
 
     def results(self, removed: np.ndarray) -> list[tuple[int, list[list[int]], str, bytes]]:
         """(n_removed, spans, kept_sha256, kept) of each document; `removed`: starts of strings."""
@@ -158,11 +172,18 @@ class Chunk:
         return out
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [begin, end), one after the other."""
+    sizes = end - begin
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begin - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class Entries:
     """Distinct strings of a chunk in ascending order of their keys, and the places of each."""
 
     def __init__(self, places, keys, second, ids):
-        order = np.lexsort((places, keys)) if second is None else np.lexsort((places, second, keys))
+        order = _ordered(keys, second)
         self.places, keys, ids = places[order], keys[order], ids[order]
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
@@ -308,37 +329,35 @@ def _sorted_buckets(entries: DataFrame, any_other: bool) -> DataFrame:
         sizes = np.array([len(k) for k in keys])
         flat = np.concatenate(keys)
         owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        if any_other:
-            order = np.argsort(flat, kind="stable")
-            second = None
-        else:
+        second = None
+        if not any_other:
             raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, 5)
             full = np.zeros((len(raw), 8), np.uint8)
             full[:, :5] = raw
             second = full.view("<u8").ravel()
-            order = np.argsort(flat, kind="stable")
-            order = _settle_ties(order, flat, second)
-            second = second[order]
-        flat = flat[order]
-        same = np.zeros(len(flat), bool)
-        same[1:] = flat[1:] == flat[:-1]
+        order = _ordered(flat, second)
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
         if second is not None:
-            same[1:] &= second[1:] == second[:-1]
+            second = second[order]
+            new[1:] |= second[1:] != second[:-1]
+        first = np.flatnonzero(new)
         bit = np.zeros(len(flat), bool)
         if any_other:
-            shared = np.concatenate(
+            # a chunk has a string once, so a group of two is of two chunks
+            again = ~new
+            again[:-1] |= again[1:]
+            bit[order] = again
+            bit |= np.concatenate(
                 [
                     np.unpackbits(np.frombuffer(r[2], np.uint8), count=s)
                     for r, s in zip(rows, sizes, strict=True)
                 ]
             ).view(bool)
-            again = same.copy()
-            again[:-1] |= same[1:]
-            bit[order] = again
-            bit |= shared
         else:
-            # entries of a string ascend by chunk: all but the first have an earlier one
-            bit[order] = same
+            # rows come in ascending order of their chunks
+            bit[order] = owner > np.minimum.reduceat(owner, first)[np.cumsum(new) - 1]
         ends = np.cumsum(sizes)
         parts = [bit[e - s : e] for s, e in zip(sizes, ends, strict=True)]
         return [
@@ -379,12 +398,14 @@ def _sorted_buckets(entries: DataFrame, any_other: bool) -> DataFrame:
     )
 
 
-def _settle_ties(order: np.ndarray, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """`order` with entries of equal keys ascending by `second`, then as they were."""
-    ordered = keys[order]
-    tie = np.flatnonzero(ordered[1:] == ordered[:-1])
-    if len(tie) and (second[order[tie]] != second[order[tie + 1]]).any():
-        return np.lexsort((np.arange(len(keys)), second, keys))
+def _ordered(keys: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """The order of `keys`, and of `second` among equal ones (which hardly ever differ there)."""
+    order = np.argsort(keys)
+    if second is not None:
+        ordered = keys[order]
+        tie = np.flatnonzero(ordered[1:] == ordered[:-1])
+        if (second[order[tie]] != second[order[tie + 1]]).any():
+            return np.lexsort((second, keys))
     return order
 
 
