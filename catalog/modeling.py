@@ -521,9 +521,10 @@ def feature_importance(spark, sf):
 @query("score_quantiles")
 def score_quantiles(spark, sf):
     p = panel(spark, sf)
-    # scored by what another session would load
+    trained = TR.train(checkpoint(build_features(p)), MODEL)
+    # scored by what another session would load; the checkpoint above has named the shared folder
     path = f"{spark.sparkContext.getCheckpointDir()}/trained-{uuid.uuid4().hex}"
-    TR.train(checkpoint(build_features(p)), MODEL).save(path)
+    trained.save(path)
     scored = TR.Trained.load(spark, path).score(S.inference_features(p))
     out = S.quantile_columns(scored, "yq", TAUS)
     return out.select(
