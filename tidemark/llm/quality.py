@@ -203,20 +203,20 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
         F.array(*[F.when(c, F.lit(name)) for name, c in failed.items()]), lambda x: x.isNotNull()
     )
     base = failed[BASE_RULES[0]] | failed[BASE_RULES[1]]
-    judged = measure(inner, "_text").select(
-        "_row",
-        F.struct(
-            F.col("_n_words").alias("n_words"),
-            F.col("_word_chars").alias("word_chars"),
-            F.col("_n_symbols").alias("n_symbols"),
-            F.col("_n_dup_lines").alias("n_dup_lines"),
-            F.col("_n_repeat_words").alias("n_repeat_words"),
-            F.col("_n_lines").alias("n_lines"),
-            F.col("_n_stop").alias("n_stop_words"),
-            base.alias("base_failed"),
-            names.alias("failed_rules"),
-        ).alias("quality"),
+    verdict = F.struct(
+        F.col("_n_words").alias("n_words"),
+        F.col("_word_chars").alias("word_chars"),
+        F.col("_n_symbols").alias("n_symbols"),
+        F.col("_n_dup_lines").alias("n_dup_lines"),
+        F.col("_n_repeat_words").alias("n_repeat_words"),
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_stop").alias("n_stop_words"),
+        base.alias("base_failed"),
+        names.alias("failed_rules"),
     )
+    # exploded from an array of one: a filter on the verdict would else be pushed below the
+    # measures and carry a copy of each of their expressions
+    judged = measure(inner, "_text").select("_row", F.explode(F.array(verdict)).alias("quality"))
     return judged.select(
         *[F.col("_row")[c].alias(c) for c in kept],
         F.col("quality").withField("kept", F.size("quality.failed_rules") == 0).alias("quality"),
@@ -224,13 +224,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass every rule, with their own columns only.
-
-    The verdict is exploded instead of filtered: a filter would be pushed below the
-    measures and carry a copy of each of their expressions.
-    """
-    verdict = F.explode(F.when(F.col("quality.kept"), F.array(F.lit(True))))
-    columns = [F.col("_row")[c].alias(c) for c in docs.columns]
-    # held in a struct, as `judge` replaces a column named quality
+    """The documents that pass every rule, with their own columns only."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return judge(held, rules).withColumn("_kept", verdict).select(*columns)
+    columns = [F.col("_row")[c].alias(c) for c in docs.columns]
+    return judge(held, rules).where("quality.kept").select(*columns)
