@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh_path, map_arrow, shuffle_partitions
+from tidemark.llm.shared import discard, fresh_path, map_arrow, shuffle_partitions, written
 
 END = 1
 #: Tokens after which a segment is closed; it always holds whole documents.
@@ -202,31 +202,60 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-# --- files -----------------------------------------------------------------------------
+def encode(docs: DataFrame, path: str, text: str = "text", end: int = END) -> DataFrame:
+    """(doc_id, n_tokens, ids): the ids of every whole text and the end id, as little-endian bytes.
 
-def write_files(
-    docs: DataFrame, tokenizer: str, path: str, text: str = "text", end: int = END
-) -> None:
-    """Encode every whole text and write the ids, `end` after each text, under `path`.
-
-    Files are segments of directly addressable codes and hold documents in ascending
-    doc_id order (null ids first; rows that share an id are ordered by their text and
-    each kept). Documents are dealt out by ranges of doc_id, and every task encodes
-    its own and writes segments of about SEGMENT_TOKENS ids. Spark commits a task's files
-    as a whole, so a lost executor leaves no half-written segment. Null and empty
-    texts are the end id alone; an empty table gives files without rows.
+    Ids take two bytes each if the vocabulary allows, else four; `width` says which.
     """
-    n = shuffle_partitions(docs.sparkSession)
     source = docs.select("doc_id", F.col(f"`{text}`").cast("binary").alias("_text"))
-    dealt = source.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_text")
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, seq = TaskContext.get().partitionId(), _encoder(tokenizer), 0
+        encoder = _encoder(path)
         last = np.array([end], encoder.kind).tobytes()
+        width = encoder.kind.itemsize
+        for batch in batches:
+            doc_ids, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
+            for part in _slices([len(t) for t in texts], ENCODED_BYTES):
+                ids = [x + last for x in encoder.encode(texts[part])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        doc_ids[part],
+                        pa.array([len(x) // width for x in ids], pa.int64()),
+                        pa.array([width] * len(ids), pa.int32()),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    names=["doc_id", "n_tokens", "width", "ids"],
+                )
+
+    return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, width int, ids binary"
+    )
+
+
+# --- files -----------------------------------------------------------------------------
+
+def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text") -> None:
+    """Encode `docs` and write them as segments of directly addressable codes under `path`.
+
+    Files hold documents in ascending doc_id order (null ids first; rows that
+    share an id are ordered by their ids and each kept). Encoded texts are written
+    once, so that dealing them out by ranges of doc_id repeats no encoding; every
+    task writes segments of about SEGMENT_TOKENS tokens. Spark commits a task's
+    files as a whole, so a lost executor leaves no half-written segment. Null and
+    empty texts are the end id alone; an empty table gives files without rows.
+    """
+    encoded = written(encode(docs, tokenizer, text), "encoded")
+    id_type = encoded.schema["doc_id"].dataType
+    dealt = encoded.repartitionByRange(
+        shuffle_partitions(docs.sparkSession), "doc_id"
+    ).sortWithinPartitions("doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part, seq = context.partitionId() if context else 0, 0
         doc_ids: list[pa.Array] = []
         counts: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = before = 0
 
         def segment() -> pa.RecordBatch:
@@ -239,33 +268,31 @@ def write_files(
                     pa.array([held], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                     pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([pack(np.frombuffer(b"".join(parts), encoder.kind))], pa.binary()),
+                    pa.array([pack(np.concatenate(parts))], pa.binary()),
                 ],
                 names=["part", "seq", "before", "n_tokens", "doc_ids", "doc_tokens", "codes"],
             )
 
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            for own in _slices([len(t) for t in texts], ENCODED_BYTES):
-                for i, ids in enumerate(encoder.encode(texts[own]), own.start):
-                    size = len(ids) // encoder.kind.itemsize + 1
-                    if held and held + size > SEGMENT_TOKENS:
-                        yield segment()
-                        seq, before, held = seq + 1, before + held, 0
-                        doc_ids, counts, parts = [], [], []
-                    doc_ids.append(batch.column(0).slice(i, 1))
-                    counts.append(size)
-                    parts += (ids, last)
-                    held += size
+            for i in range(batch.num_rows):
+                width = batch.column(2)[i].as_py()
+                ids = np.frombuffer(batch.column(3)[i].as_buffer(), f"<u{width}")
+                if held and held + len(ids) > SEGMENT_TOKENS:
+                    yield segment()
+                    seq, before, held = seq + 1, before + held, 0
+                    doc_ids, counts, parts = [], [], []
+                doc_ids.append(batch.column(0).slice(i, 1))
+                counts.append(len(ids))
+                parts.append(ids.astype("<u4"))
+                held += len(ids)
         if doc_ids:
             yield segment()
 
-    map_arrow(
-        dealt,
-        run,
-        f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type}>, "
+    map_arrow(dealt, run,
+        f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type.simpleString()}>, "
         "doc_tokens array<bigint>, codes binary",
     ).write.option("compression", "zstd").parquet(path)
+    discard(encoded)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
