@@ -131,6 +131,15 @@ def test_terms_that_disclose_a_value(spark):
     assert rows[90].clean == "unusual haberdasher near [EMAIL]"
 
 
+def test_two_different_surroundings_are_evidence_for_a_rare_term(spark):
+    filler = lambda i: " ".join(f"plain{chr(97 + (i * 7 + j * 3) % 26)}" for j in range(6))
+    texts = [f"{filler(i)} zamboni common joe@corp.example.com {filler(i + 1)}" for i in (1, 5)]
+    texts += [f"{filler(i)} common" for i in range(198)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.detect(docs).select(F.expr("transform(pii.term, t -> substring(text, t.start + 1, t.end - t.start))"))
+    assert sorted(r[0] for r in found.collect()) == [[]] * 198 + [["zamboni"]] * 2
+
+
 # --- decontamination -------------------------------------------------------------------
 
 

@@ -24,8 +24,9 @@ BYTE = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 
 #: Words on either side of a value that count as its surroundings, and characters they lie in.
 CONTEXT_WORDS, CONTEXT_CHARS = 8, 160
-#: Different surroundings in which a term must stand with a value; copies of one text are one.
-SUPPORT = 5
+#: Chance at which so many different surroundings of a value would hold a term that knows nothing
+#: of it; pairs above are no evidence. Copies of one text are one, and one is none.
+LEVEL = 1e-3
 #: Shares of a value's information that a term may disclose: above these it is replaced by its
 #: kind of word, or removed.
 GENERALISE, REMOVE = 0.5, 0.8
@@ -90,6 +91,18 @@ def _shown(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
+def _entities(kind: str, spans: Column) -> Column:
+    # Spark would give a lambda's second parameter the place in the array
+    return F.transform(
+        spans,
+        lambda x: F.struct(
+            F.concat_ws(":", F.lit(kind), F.lower(x["value"])).alias("entity"),
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+        ),
+    )
+
+
 def surroundings(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, entity, context, term, start, end) for the words around each value.
 
@@ -144,25 +157,35 @@ def surroundings(values: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "entity", "context", "s.*").where(F.length("term") >= 4)
 
 
+def chance(hits: Column, tries: Column, rate: Column) -> Column:
+    """An upper bound (Chernoff's) of the chance of `hits` or more among `tries` at this rate."""
+    part = hits / tries
+    rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - rate))).otherwise(0.0)
+    return F.when(part <= rate, 1.0).otherwise(F.exp(-tries * (part * F.log(part / rate) + rest)))
+
+
 def disclosing(around: DataFrame, docs_terms: DataFrame, n_docs: int, keys: list[str]) -> DataFrame:
     """(entity, term, share): how much of an entity's information a term discloses.
 
     share = PMI(entity; term) / IC(entity) with the chances that a document of the
     corpus has the entity, the term, or the term among the entity's surroundings:
-    1 if the term stands nowhere else. Pairs seen in fewer than SUPPORT different
-    surroundings are no evidence.
+    1 if the term stands nowhere else. Only pairs that chance explains with at most
+    LEVEL count; two different surroundings suffice for a rare term.
     """
     doc = F.struct(*keys)
-    entities = around.groupBy("entity").agg(F.count_distinct(doc).alias("n_entity"))
+    entities = around.groupBy("entity").agg(
+        F.count_distinct("context").alias("contexts"), F.count_distinct(doc).alias("n_entity")
+    )
     pairs = (
         around.groupBy("entity", "term")
         .agg(F.count_distinct("context").alias("support"), F.count_distinct(doc).alias("n_both"))
-        .where(F.col("support") >= SUPPORT)
+        .where(F.col("support") > 1)
     )
     n = F.lit(float(n_docs))
     return (
         pairs.join(entities, "entity")
         .join(docs_terms, "term")
+        .where(chance(F.col("support"), F.col("contexts"), F.col("n_term") / n) <= LEVEL)
         .select(
             "entity",
             "term",
@@ -201,15 +224,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         F.explode(
             F.concat(
                 *[
-                    F.transform(
-                        s,
-                        lambda x, k=k: F.struct(
-                            F.concat_ws(":", F.lit(k), F.lower(x["value"])).alias("entity"),
-                            x["start"].alias("start"),
-                            x["end"].alias("end"),
-                        ),
-                    )
-                    for k, s in spans.items()
+                    _entities(k, s) for k, s in spans.items()
                 ]
             )
         ).alias("v"),
@@ -255,6 +270,15 @@ def shown(pii: str = "pii", kinds: tuple[str, ...] = (*KINDS, "term")) -> Column
     return F.array_join(F.concat(*[_shown(k, F.col(f"{pii}.{k}")) for k in kinds]), ",")
 
 
+def _replaced(spans: Column, by: str) -> Column:
+    return F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"), (-s["end"]).alias("back"), F.lit(by).alias("by")
+        ),
+    )
+
+
 def sanitised(text: Column, pii: str = "pii") -> Column:
     """The text with values replaced by their kind, terms by [WORD] or by nothing.
 
@@ -262,15 +286,7 @@ def sanitised(text: Column, pii: str = "pii") -> Column:
     """
     marks = F.concat(
         *[
-            F.transform(
-                F.col(f"{pii}.{k}"),
-                lambda s, k=k: F.struct(
-                    s["start"].alias("start"),
-                    (-s["end"]).alias("back"),
-                    F.lit(f"[{k.upper()}]").alias("by"),
-                ),
-            )
-            for k in KINDS
+            _replaced(F.col(f"{pii}.{k}"), f"[{k.upper()}]") for k in KINDS
         ],
         F.transform(
             F.col(f"{pii}.term"),
