@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,20 @@ def test_two_different_surroundings_are_evidence_for_a_rare_term(spark):
     assert sorted(r[0] for r in found.collect()) == [[]] * 198 + [["zamboni"]] * 2
 
 
+def test_terms_are_found_in_the_whole_text(spark):
+    filler = lambda i, n: " ".join(f"plain{chr(97 + (i * 7 + j * 3) % 26)}" for j in range(n))
+    # far from the value, in another case, twice, and only there in one of the documents
+    texts = [f"İ Zamboni {filler(i, 60)} joe@corp.example.com {filler(i, 60)} ZAMBONI," for i in (1, 5)]
+    texts += [f"{filler(7, 40)} 10.1.2.3 joe@corp.example.com {filler(9, 40)} zamboni"]
+    texts += [f"{filler(i, 9)} corp" for i in range(300)]
+    docs = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = pii.detect(docs).select("text", "pii.term").collect()
+    assert len(found) == len(texts)
+    places = lambda t: [(m.start(), m.end()) for m in re.finditer("(?i)zamboni", t)]
+    for r in found:
+        assert [(x.start, x.end) for x in r.term] == (places(r.text) if "@" in r.text else [])
+
+
 # --- decontamination -------------------------------------------------------------------
 
 

@@ -22,9 +22,9 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-
 KINDS = tuple(PATTERNS)
 BYTE = r"^0*(?:[0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 
-#: Words on either side of a value that count as its surroundings, and characters they lie in.
-CONTEXT_WORDS, CONTEXT_CHARS = 8, 160
-#: Chance at which so many different surroundings of a value would hold a term that knows nothing
+#: What counts as a term: words of four or more letters.
+TERM = r"\p{L}{4,}"
+#: Chance at which so many different texts with a value would hold a term that knows nothing
 #: of it; pairs above are no evidence. Copies of one text are one, and one is none.
 LEVEL = 1e-3
 #: Shares of a value's information that a term may disclose: above these it is replaced by its
@@ -93,68 +93,43 @@ def _shown(kind: str, spans: Column) -> Column:
 
 def _entities(kind: str, spans: Column) -> Column:
     # Spark would give a lambda's second parameter the place in the array
-    return F.transform(
-        spans,
-        lambda x: F.struct(
-            F.concat_ws(":", F.lit(kind), F.lower(x["value"])).alias("entity"),
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-        ),
-    )
+    return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), F.lower(x["value"])))
 
 
-def surroundings(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, entity, context, term, start, end) for the words around each value.
+def terms_of(text: Column) -> Column:
+    """The different terms of a text, in lower case; those within an email address are not its words."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    words = F.array_distinct(F.regexp_extract_all(bare, F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(words, F.lower))
 
-    `values` has rows (keys, text, entity, start, end). Terms are words of four or
-    more letters, in lower case; words that the window cuts are left out.
-    """
-    words = r"\p{L}+"
-    low = F.greatest(F.col("start") - CONTEXT_CHARS, F.lit(0))
-    high = F.least(F.col("end") + CONTEXT_CHARS, F.length("text"))
-    cut = values.select(
-        *keys,
-        "entity",
-        low.alias("low"),
-        F.col("end").alias("from"),
-        high.alias("high"),
-        F.length("text").alias("length"),
-        F.expr("substring(text, greatest(start - %d, 0) + 1, start - greatest(start - %d, 0))"
-               % (CONTEXT_CHARS, CONTEXT_CHARS)).alias("left"),
-        F.expr("substring(text, end + 1, %d)" % CONTEXT_CHARS).alias("right"),
-    )
-
-    def moved(spans: Column, by: Column) -> Column:
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                F.lower(s["value"]).alias("term"),
-                (s["start"] + by).alias("start"),
-                (s["end"] + by).alias("end"),
-            ),
-        )
 
-    left = F.filter(
-        moved(located(F.col("left"), words), F.col("low")),
-        lambda s: (s["start"] > F.col("low")) | (F.col("low") == 0),
-    )
-    right = F.filter(
-        moved(located(F.col("right"), words), F.col("from")),
-        lambda s: (s["end"] < F.col("high")) | (F.col("high") == F.col("length")),
-    )
-    around = cut.withColumn("l", left).withColumn(
-        "around",
-        F.concat(
-            F.slice("l", F.greatest(F.size("l") - (CONTEXT_WORDS - 1), F.lit(1)), F.lit(CONTEXT_WORDS)),
-            F.slice(right, 1, CONTEXT_WORDS),
+def marked(text: Column, shares: Column) -> Column:
+    """Every place of the terms that are keys of `shares`, as (start, end, share)."""
+    pairs = F.zip_with(
+        F.regexp_extract_all(text, F.lit(TERM), F.lit(0)),
+        F.split(text, TERM, -1),
+        lambda word, gap: F.struct(
+            F.length(word).alias("length"),
+            F.length(gap).alias("gap"),
+            F.try_element_at(shares, F.lower(word)).alias("share"),
         ),
     )
-    return around.select(
-        *keys,
-        "entity",
-        F.xxhash64(F.array_join(F.transform("around", lambda s: s["term"]), " ")).alias("context"),
-        F.explode("around").alias("s"),
-    ).select(*keys, "entity", "context", "s.*").where(F.length("term") >= 4)
+    kind = "array<struct<start:int,end:int,share:double>>"
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + x["length"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["share"].alias("share"))
+        # only what is marked copies the array
+        more = F.when(x["share"].isNotNull(), F.array_append(a["out"], span)).otherwise(a["out"])
+        return F.struct(end.alias("at"), more.alias("out"))
+
+    return F.aggregate(
+        F.filter(pairs, lambda x: x["length"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
+        step,
+        lambda a: a["out"],
+    )
 
 
 def chance(hits: Column, tries: Column, rate: Column) -> Column:
@@ -164,28 +139,25 @@ def chance(hits: Column, tries: Column, rate: Column) -> Column:
     return F.when(part <= rate, 1.0).otherwise(F.exp(-tries * (part * F.log(part / rate) + rest)))
 
 
-def disclosing(around: DataFrame, docs_terms: DataFrame, n_docs: int, keys: list[str]) -> DataFrame:
+def disclosing(texts: DataFrame, docs_terms: DataFrame, n_docs: int) -> DataFrame:
     """(entity, term, share): how much of an entity's information a term discloses.
 
-    share = PMI(entity; term) / IC(entity) with the chances that a document of the
-    corpus has the entity, the term, or the term among the entity's surroundings:
-    1 if the term stands nowhere else. Only pairs that chance explains with at most
-    LEVEL count; two different surroundings suffice for a rare term.
+    `texts` has a row for each entity and different text with it: (entity, copies,
+    n_entity, n_texts, terms). share = PMI(entity; term) / IC(entity) with the chances
+    that a document of the corpus has the entity, the term, or both: 1 if the term
+    stands nowhere else. Only pairs that chance explains with at most LEVEL count; two
+    different texts suffice for a rare term.
     """
-    doc = F.struct(*keys)
-    entities = around.groupBy("entity").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct(doc).alias("n_entity")
-    )
     pairs = (
-        around.groupBy("entity", "term")
-        .agg(F.count_distinct("context").alias("support"), F.count_distinct(doc).alias("n_both"))
+        texts.select("entity", "copies", "n_entity", "n_texts", F.explode("terms").alias("term"))
+        .groupBy("entity", "n_entity", "n_texts", "term")
+        .agg(F.count("*").alias("support"), F.sum("copies").alias("n_both"))
         .where(F.col("support") > 1)
     )
     n = F.lit(float(n_docs))
     return (
-        pairs.join(entities, "entity")
-        .join(docs_terms, "term")
-        .where(chance(F.col("support"), F.col("contexts"), F.col("n_term") / n) <= LEVEL)
+        pairs.join(docs_terms, "term")
+        .where(chance(F.col("support"), F.col("n_texts"), F.col("n_term") / n) <= LEVEL)
         .select(
             "entity",
             "term",
@@ -201,15 +173,16 @@ def disclosing(around: DataFrame, docs_terms: DataFrame, n_docs: int, keys: list
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with a struct `pii`: an array of spans for each kind and `term`.
 
-    Kinds are the base patterns' valid matches; `term` has the words around a
-    protected value that disclose it, with the share they disclose. Rows are told
-    apart by doc_id and text hash, so equal rows get equal results; a null doc_id is an id
-    like any other and a null text has no spans. An empty table gives no rows. A
-    column `pii` of `docs` is replaced.
+    Kinds are the base patterns' valid matches; `term` has every place of the words that
+    disclose a protected value in a document with that value, wherever they stand in it, with
+    the share they disclose. Rows are told apart by doc_id and text hash, so equal rows get
+    equal results; a null doc_id is an id like any other and a null text has no spans. An
+    empty table gives no rows. A column `pii` of `docs` is replaced.
 
-    Patterns are evaluated within each row. Co-occurrence moves only the words
-    around values and one count for each term and task of the corpus; values that very many
-    documents share are pre-aggregated, and no group of theirs is gathered.
+    Patterns are evaluated within each row. Co-occurrence moves the different words of
+    documents with values, those of values in one text only no further, and one count for each
+    term and task of the corpus; values that very many documents share are
+    pre-aggregated, and no group of theirs is gathered.
     """
     columns = [c for c in docs.columns if c != "pii"]
     own = [F.col(f"`{c}`") for c in columns]
@@ -218,32 +191,47 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     ids = [F.col("doc_id").alias("_id"), F.xxhash64(raw).alias("_hash")]
     spans = {k: found(raw, k) for k in KINDS}
 
-    bearing = docs.select(
-        *ids,
-        raw.alias("text"),
-        F.explode(
-            F.concat(
-                *[
-                    _entities(k, s) for k, s in spans.items()
-                ]
-            )
-        ).alias("v"),
-    ).select(*keys, "text", "v.*")
-    around = written(surroundings(bearing, keys), "surroundings")
+    values = F.array_distinct(F.concat(*[_entities(k, s) for k, s in spans.items()]))
+    bearing = written(
+        # a generator, as a filter would evaluate the patterns twice
+        docs.select(*ids, raw.alias("_text"), F.explode(F.filter(F.array(values), lambda v: F.size(v) > 0)).alias("values"))
+        .select(*keys, "values", terms_of(F.col("_text")).alias("terms")),
+        "bearing",
+    )
+    places = (
+        bearing.select("_hash", F.explode("values").alias("entity"))
+        .groupBy("entity", "_hash")
+        .agg(F.count("*").alias("copies"))
+    )
+    entities = (
+        places.groupBy("entity")
+        .agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts"))
+        .where(F.col("n_texts") > 1)
+    )
+    shared = written(places.join(entities, "entity"), "shared")
+    # copies of one text meet as one row of each task before they are joined
+    different = bearing.groupBy("_hash").agg(F.first("terms").alias("terms"))
+    texts = written(
+        different.join(shared.select("_hash").distinct(), "_hash", "left_semi"), "texts"
+    ).join(shared, "_hash")
     terms = (
-        docs.select(
-            F.explode(F.array_distinct(F.regexp_extract_all(F.lower(raw), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term")
-        )
+        docs.select(F.explode(terms_of(raw)).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
     )
-    shares = disclosing(around, terms, docs.count(), keys)
-    per = (
-        around.join(shares, ["entity", "term"])
-        .groupBy(*keys, "start", "end")
+    shares = disclosing(texts, terms, docs.count())
+    of_text = (
+        texts.select("_hash", "entity", F.explode("terms").alias("term"))
+        .join(shares, ["entity", "term"])
+        .groupBy("_hash", "term")
         .agg(F.max("share").alias("share"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("_terms"))
+        .groupBy("_hash")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_shares"))
+    )
+    per = (
+        bearing.select(*keys)
+        .distinct()
+        .join(of_text, "_hash")
         .withColumnsRenamed({k: f"{k}2" for k in keys})
     )
     match = F.lit(True)
@@ -255,12 +243,13 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat(*[F.col(f"_{k}") for k in KINDS]),
         lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]),
     )
+    places_of = F.when(F.col("_shares").isNotNull(), marked(raw, F.col("_shares"))).otherwise(none)
     return base.join(per, match, "left").select(
         *own,
         F.struct(
             *[F.col(f"_{k}").alias(k) for k in KINDS],
             # the values themselves are spans already
-            F.filter(F.coalesce("_terms", none), lambda t: ~inside(t)).alias("term"),
+            F.filter(places_of, lambda t: ~inside(t)).alias("term"),
         ).alias("pii"),
     )
 
