@@ -40,6 +40,16 @@ def test_codes_round_trip_and_random_access(most):
         assert all(codes[int(i)] == ids[i] for i in rng.integers(0, n, 40 if n else 0))
 
 
+def test_letters_that_end_in_a_mark_are_encoded_with_their_punctuation():
+    tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalpha() and not 0x3400 <= c <= 0xD7A3]
+    words = ["\u09b9\u09df,", "\u09b2\u09dc.", "\u0939\u095c,", "VERG\u0130.", "\ufb2a."]
+    words += [x + "." for x in letters] + [f"a{x}!?" for x in letters]
+    for text, ids in zip(words, encoder.encode([w.encode() for w in words]), strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, encoder.kind).tolist() == want, ascii(text)
+
+
 def test_chunk_encoding_equals_the_tokenizer():
     tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
     texts = [

@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,9 @@ class WordEncoder:
     Each distinct chunk between white space is encoded once and kept. A chunk of
     letters and ASCII punctuation after them (no apostrophe) is put together from
     those two, as such a tokenizer splits between them and ends each with an
-    end-of-word token. All other chunks are encoded as they stand.
+    end-of-word token. That needs letters which stay letters in NFC and lower case:
+    a combining mark at their end goes with the punctuation. All other chunks are
+    encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -153,7 +156,7 @@ class WordEncoder:
         for chunk in chunks:
             word = chunk.decode("utf-8", "surrogatepass")
             head = word.rstrip(_PUNCTUATION)
-            if head.isalpha():
+            if head.isalpha() and (head.isascii() or normalize("NFC", head).lower().isalpha()):
                 plain.append(chunk)
                 tails.append(word[len(head) :])
                 heads.append(head.lower() if head.isascii() else head)
