@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from llm import brute
 from llm.conftest import EDGES, rows_of
-from tidemark.llm import graph, mixing, queries_text, shared, simhash, suffixes, tokens, urls
+from tidemark.llm import encoding, graph, mixing, queries_text, shared, simhash, suffixes, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -40,34 +41,56 @@ def test_codes_round_trip_and_random_access(most):
         assert all(codes[int(i)] == ids[i] for i in rng.integers(0, n, 40 if n else 0))
 
 
+def ids_of(texts, encoder=None):
+    flat, bounds = (encoder or encoding.encoder(PATH)).encode(pa.array([t.encode() for t in texts], pa.binary()))
+    return [flat[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+
+
+def wanted(texts):
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_letters_that_end_in_a_mark_are_encoded_with_their_punctuation():
-    tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+    assert encoding.encoder(PATH).apart
     letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalpha() and not 0x3400 <= c <= 0xD7A3]
     words = ["\u09b9\u09df,", "\u09b2\u09dc.", "\u0939\u095c,", "VERG\u0130.", "\ufb2a."]
-    words += [x + "." for x in letters] + [f"a{x}!?" for x in letters]
-    for text, ids in zip(words, encoder.encode([w.encode() for w in words]), strict=True):
-        want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, encoder.kind).tolist() == want, ascii(text)
+    words += [x + "." for x in letters] + [f"a{x}!?" for x in letters] + [f"!{x}1" for x in letters]
+    for text, got, want in zip(words, ids_of(words), wanted(words), strict=True):
+        assert got == want, ascii(text)
 
 
-def test_chunk_encoding_equals_the_tokenizer():
-    tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
+def test_piece_encoding_equals_the_tokenizer():
     texts = [
-        "Don't stop, it's the dog's <|endoftext|>x <|ENDOFTEXT|>", "a b c\x1cd　e", "ΣΑΣ ς's",
-        "é ́x Ångström ﬁ İstanbul ½ Ⅷ x² 12 3a a3", "'s 'S ll'll ### a.b ,,'", "\U0001f600!!‍x",
-        "", " ", "日本語 テキスト。the", "tab\tnew\nline\x0bvt",
+        "Don't stop, it's the dog's <|endoftext|>x <|ENDOFTEXT|>", "a b c\x1cd　e", "ΣΑΣ ς's",
+        "é ́x Ångström ﬁ İstanbul ½ Ⅷ x² 12 3a a3", "'s 'S ll'll ### a.b ,,'", "\U0001f600!!‍x",
+        "", " ", "日本語 テキスト。the", "tab\tnew\nline\x0bvt", "=\u0338 H\u0331.",
     ]
-    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
-        want = tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(ids, encoder.kind).tolist() == want, text
+    assert ids_of(texts) == wanted(texts)
+
+
+def test_random_texts_are_encoded_as_the_tokenizer_does():
+    rng = random.Random(11)
+    parts = [*"aBé1²½日。ßİΣς!.,-_~< \n\t\x1c\u3000\xa0\0'", "\u0301", "\u0338", "\u09dc", "'s", "<|endoftext|>", "the", "\u200d"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    got = [x for i in range(0, len(texts), 400) for x in ids_of(texts[i : i + 400])]
+    assert got == wanted(texts)
 
 
 def test_a_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED", 5)
-    tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
-    for text in ("a b c d e f g, h!", "a b x", "q r s t u v w a"):
-        got = np.frombuffer(encoder.encode([text.encode()])[0], encoder.kind).tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(encoding, "CACHED", 3)
+    encoder = encoding.WordEncoder(PATH)
+    for text in ("a a b b c c d d e e f g, h!", "a b x", "q r s t u v w a"):
+        assert ids_of([text], encoder) == wanted([text])
+        assert len(encoder.pieces) <= 3
+
+
+def test_another_tokenizer_gets_whole_texts(spark, no_docs):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = encoding.WordEncoder(other)
+    texts = ["Don't  stop,\n it's", "", "é 123"]
+    plain = Tokenizer.from_file(other).encode_batch(texts, add_special_tokens=False)
+    assert not encoder.apart and ids_of(texts, encoder) == [e.ids for e in plain]
+    assert ids_of([], encoder) == ids_of([]) == []
 
 
 def test_token_files_on_edges_and_lookup(spark, edges, no_docs, monkeypatch):

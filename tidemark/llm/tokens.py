@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import string
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +12,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.encoding import encoded
 from tidemark.llm.shared import discard, fresh_path, map_arrow, shuffle_partitions, written
 
 END = 1
 #: Tokens after which a segment is closed; it always holds whole documents.
 SEGMENT_TOKENS = 1 << 19
-#: Bytes of text encoded at once.
-ENCODED_BYTES = 4 << 20
-#: Entries of a worker's caches; a full cache starts anew.
-CACHED = 600_000
 MAGIC = b"DAC1"
 CHUNK = 8
 #: Bits of a continuation bitmap to each entry of its rank directory.
 RANK_EVERY = 512
-_PUNCTUATION = string.punctuation.replace("'", "")
 
 
 # --- the codes -------------------------------------------------------------------------
@@ -111,100 +104,6 @@ class Codes:
 # --- encoding --------------------------------------------------------------------------
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer that never joins anything across ASCII white space.
-
-    Each distinct chunk between white space is encoded once and kept. A chunk of
-    letters and ASCII punctuation after them (no apostrophe) is put together from
-    those two, as such a tokenizer splits between them and ends each with an
-    end-of-word token. That needs letters which stay letters in NFC and lower case:
-    a combining mark at their end goes with the punctuation. All other chunks are
-    encoded as they stand.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add_pieces(self, pieces: list[str]) -> None:
-        """Many pieces as one text; their ids end at end-of-word tokens."""
-        groups = [pieces[i : i + 500] for i in range(0, len(pieces), 500)]
-        width = self.kind.itemsize
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            ids = np.array(ids, self.kind)
-            last = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
-            raw = ids.tobytes()
-            if len(last) == len(group) and last[-1] == len(raw):
-                parts = [raw[i:j] for i, j in zip([0, *last[:-1]], last, strict=True)]
-            else:
-                parts = [np.array(x, self.kind).tobytes() for x in self._encode(group)]
-            self.pieces.update(zip(group, parts, strict=True))
-
-    def _add_chunks(self, chunks: set[bytes]) -> None:
-        plain, heads, tails, whole = [], [], [], []
-        for chunk in chunks:
-            word = chunk.decode("utf-8", "surrogatepass")
-            head = word.rstrip(_PUNCTUATION)
-            if head.isalpha() and (head.isascii() or normalize("NFC", head).lower().isalpha()):
-                plain.append(chunk)
-                tails.append(word[len(head) :])
-                heads.append(head.lower() if head.isascii() else head)
-            else:
-                whole.append(chunk)
-        wanted = set(heads).union(tails)
-        if len(self.pieces) + len(wanted) > CACHED:
-            self.pieces = {"": b""}
-        self._add_pieces(list(wanted.difference(self.pieces)))
-        of = self.pieces.__getitem__
-        self.chunks.update(
-            (c, h + t) for c, h, t in zip(plain, map(of, heads), map(of, tails), strict=True)
-        )
-        encoded = self._encode([c.decode("utf-8", "replace") for c in whole])
-        self.chunks.update(
-            (c, np.array(x, self.kind).tobytes()) for c, x in zip(whole, encoded, strict=True)
-        )
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes of `kind`."""
-        split = [t.split() for t in texts]
-        used = set().union(*split)
-        missing = used.difference(self.chunks)
-        if len(self.chunks) + len(missing) > CACHED:
-            # a full cache starts anew, with all that these texts need
-            self.chunks, missing = {}, used
-        self._add_chunks(missing)
-        of = self.chunks.__getitem__
-        return [b"".join(map(of, words)) for words in split]
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    """Kept by the Python worker for the next task."""
-    return WordEncoder(path)
-
-
-def _slices(sizes: list[int], most: int) -> Iterator[slice]:
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > most:
-            yield slice(start, i)
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield slice(start, len(sizes))
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", end: int = END) -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of every whole text and the end id, as little-endian bytes.
 
@@ -214,25 +113,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", end: int = END) -> Da
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        last = np.array([end], encoder.kind).tobytes()
-        width = encoder.kind.itemsize
         for batch in batches:
-            doc_ids, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
-            for part in _slices([len(t) for t in texts], ENCODED_BYTES):
-                ids = [x + last for x in encoder.encode(texts[part])]
+            for part, ids, bounds in encoded(batch.column(1), path, end):
+                n, width = len(bounds) - 1, ids.dtype.itemsize
+                offsets = pa.py_buffer((bounds * width).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids[part],
-                        pa.array([len(x) // width for x in ids], pa.int64()),
-                        pa.array([width] * len(ids), pa.int32()),
-                        pa.array(ids, pa.binary()),
+                        batch.column(0)[part],
+                        pa.array(np.diff(bounds), pa.int64()),
+                        pa.array(np.full(n, width, np.int32)),
+                        pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(ids)]),
                     ],
                     names=["doc_id", "n_tokens", "width", "ids"],
                 )
 
-    return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, width int, ids binary"
-    )
+    return map_arrow(source, run, f"doc_id {id_type}, n_tokens bigint, width int, ids binary")
 
 
 # --- files -----------------------------------------------------------------------------
@@ -247,9 +142,9 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
     files as a whole, so a lost executor leaves no half-written segment. Null and
     empty texts are the end id alone; an empty table gives files without rows.
     """
-    encoded = written(encode(docs, tokenizer, text), "encoded")
-    id_type = encoded.schema["doc_id"].dataType
-    dealt = encoded.repartitionByRange(
+    held_ids = written(encode(docs, tokenizer, text), "encoded")
+    id_type = held_ids.schema["doc_id"].dataType
+    dealt = held_ids.repartitionByRange(
         shuffle_partitions(docs.sparkSession), "doc_id"
     ).sortWithinPartitions("doc_id", "ids")
 
@@ -295,7 +190,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
         f"part int, seq int, before bigint, n_tokens bigint, doc_ids array<{id_type.simpleString()}>, "
         "doc_tokens array<bigint>, codes binary",
     ).write.option("compression", "zstd").parquet(path)
-    discard(encoded)
+    discard(held_ids)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
