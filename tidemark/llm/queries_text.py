@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     decontaminate,
     licenses,
+    middle,
     mixing,
+    packing,
     pii,
     quality,
     sharding,
@@ -122,6 +124,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.transform(documents(spark, sf_dir))
+    output, form = F.col("fim.output"), F.col("fim.form")
+    return cut.select(
+        "doc_id",
+        *[F.col("fim")[c].alias(c) for c in ("n", "form", "prefix_chars", "middle_chars")],
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(middle.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -135,6 +152,8 @@ QUERIES = {
         op8_quality_rules,
         op9_personal_data,
         op10_suffix_array_dedup,
+        op12_fill_in_middle,
+        op13_best_fit_packing,
     )
 }
 SQL = {
@@ -143,4 +162,5 @@ SQL = {
     "op7_sharding": sql.op7(),
     "op8_quality_rules": sql.op8(),
     "op10_suffix_array_dedup": sql.op10(),
+    "op12_fill_in_middle": sql.op12(),
 }

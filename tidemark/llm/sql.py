@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, licenses, quality, sharding, suffixes
+from tidemark.llm import decontaminate, licenses, middle, quality, sharding, suffixes
 from tidemark.llm.shared import LOWER, UPPER
 
 _PLAIN = rf"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
@@ -142,3 +142,24 @@ SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed,
   sha256(unhex(coalesce(before, '') || hex(array_slice(b, coalesce(e, 0) + 1, octet_length(b)))))
     AS kept_sha256
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
+
+
+def op12() -> str:
+    a, b, c = middle.PREFIX, middle.SUFFIX, middle.MIDDLE
+    draws = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('{middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+e AS (SELECT *, {draws} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+  CASE WHEN n = 0 OR contains(t, '{a}') OR contains(t, '{b}') OR contains(t, '{c}')
+    OR h3 % 100 >= {middle.PLAIN_FROM} THEN 'plain'
+    WHEN h4 % 100 < {middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(p AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(q - p AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '{a}' || substr(t, 1, p) || '{b}' || substr(t, q + 1) || '{c}' || substr(t, p + 1, q - p)
+    ELSE '{b}' || substr(t, q + 1) || '{a}' || substr(t, 1, p) || '{c}' || substr(t, p + 1, q - p)
+    END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f"""
