@@ -14,6 +14,7 @@ from tidemark.llm import (
     packing,
     pii,
     quality,
+    ranking,
     sharding,
     simhash,
     sql,
@@ -21,7 +22,7 @@ from tidemark.llm import (
     tokens,
     urls,
 )
-from tidemark.llm.shared import table
+from tidemark.llm.shared import fresh_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -124,6 +125,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "terms")
+    ranking.build(documents(spark, sf_dir), path)
+    return ranking.search(spark.read.parquet(path), table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = middle.transform(documents(spark, sf_dir))
     output, form = F.col("fim.output"), F.col("fim.form")
@@ -152,6 +159,7 @@ QUERIES = {
         op8_quality_rules,
         op9_personal_data,
         op10_suffix_array_dedup,
+        op11_ranked_search,
         op12_fill_in_middle,
         op13_best_fit_packing,
     )
@@ -162,5 +170,6 @@ SQL = {
     "op7_sharding": sql.op7(),
     "op8_quality_rules": sql.op8(),
     "op10_suffix_array_dedup": sql.op10(),
+    "op11_ranked_search": sql.op11(),
     "op12_fill_in_middle": sql.op12(),
 }

@@ -81,11 +81,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 _shipped: set[str] = set()
 
 
-def map_arrow(
-    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
-) -> DataFrame:
-    """`df.mapInArrow`, with this package sent to the executors once for each application."""
-    context = df.sparkSession.sparkContext
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         archive = shutil.make_archive(
@@ -93,4 +91,11 @@ def map_arrow(
         )
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
+
+
+def map_arrow(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+) -> DataFrame:
+    """`df.mapInArrow`, with this package at hand in the executors."""
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

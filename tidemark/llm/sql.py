@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, licenses, middle, quality, sharding, suffixes
+from tidemark.llm import decontaminate, licenses, middle, quality, ranking, sharding, suffixes
 from tidemark.llm.shared import LOWER, UPPER
 
 _PLAIN = rf"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
@@ -163,3 +163,22 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
     END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM f"""
+
+
+def op11() -> str:
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    words = f"unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{word}'))"
+    return f"""WITH p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM
+    (SELECT doc_id, {words} AS term FROM documents) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, {words} AS term FROM benchmark) GROUP BY ALL),
+m AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM m),
+s AS (SELECT doc_id, {ranking.SHORTEST} + ({ranking.SLOPE} * n * docs) // words AS m FROM m, c),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM p, c GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, CAST(sum(qtf * w *
+    (({ranking.SCALE} * tf) // (1000 * tf + {ranking.HALF} * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN s USING (doc_id) GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r
+  WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= {ranking.TOP}"""
