@@ -191,30 +191,31 @@ def upsert_history(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def collection_summary(plans: DataFrame, status: DataFrame, new: DataFrame, total: DataFrame) -> DataFrame:
-    """One row: tickers processed, successes, new and total records, symbols updated."""
-    parts = [
-        plans.select(F.lit("tickers_processed").alias("m"), F.lit(1).cast("long").alias("v")),
-        status.where("status = 'active'").select(
-            F.lit("successful_collections").alias("m"), F.lit(1).cast("long").alias("v")
-        ),
-        new.select(F.lit("new_records").alias("m"), F.lit(1).cast("long").alias("v")),
-        total.select(F.lit("total_records").alias("m"), F.lit(1).cast("long").alias("v")),
-        new.select("symbol").distinct().select(
-            F.lit("symbols_updated").alias("m"), F.lit(1).cast("long").alias("v")
-        ),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    names = [
-        "tickers_processed",
-        "successful_collections",
-        "new_records",
-        "total_records",
-        "symbols_updated",
-    ]
-    sums = [F.coalesce(F.sum(F.when(F.col("m") == n, F.col("v"))), F.lit(0)).alias(n) for n in names]
-    return rows.agg(*sums).withColumn(
+def collection_summary(status: DataFrame, new: DataFrame, total: DataFrame | int) -> DataFrame:
+    """One row: tickers processed, successes, new and total records, symbols updated.
+
+    `status` has a row for every planned symbol. Each input is read once and cut down to one row
+    a symbol or task before it is moved. `total` is the history, or its number of rows where
+    that is known.
+    """
+    names = ["tickers_processed", "successful_collections", "new_records", "total_records", "symbols_updated"]
+    zero = {n: F.lit(0).cast("long") for n in names}
+
+    def part(df: DataFrame, **values) -> DataFrame:
+        return df.select(*[F.coalesce(c.cast("long"), zero[n]).alias(n) for n, c in (zero | values).items()])
+
+    per_symbol = new.groupBy("symbol").agg(F.count("*").alias("n"))
+    rows = part(
+        status,
+        tickers_processed=F.lit(1),
+        successful_collections=(F.col("status") == "active").cast("int"),
+    ).unionByName(part(per_symbol, new_records=F.col("n"), symbols_updated=F.lit(1)))
+    known = isinstance(total, int)
+    if not known:
+        rows = rows.unionByName(part(total.agg(F.count("*").alias("n")), total_records=F.col("n")))
+    out = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    if known:
+        out = out.withColumn("total_records", F.lit(total).cast("long"))
+    return out.withColumn(
         "status", F.when(F.col("new_records") > 0, "success").otherwise("no_new_data")
     )

@@ -18,7 +18,8 @@ from tidemark.operators.ingest import (
 )
 from tidemark.operators.timeline import densify
 from tidemark.session import checkpoint
-from tidemark.sources.tables import overwrite_csv, overwrite_parquet, read_bars, read_metadata
+from tidemark.sources import versions
+from tidemark.sources.tables import overwrite_csv, read_bars, read_metadata
 
 
 @dataclass
@@ -56,7 +57,7 @@ def collect(
         accepted,
         merged,
         upsert_metadata(metadata, status),
-        collection_summary(plans, status, accepted, merged),
+        collection_summary(status, accepted, merged),
     )
 
 
@@ -69,13 +70,20 @@ def run_collection(
     run_date: dt.date,
     rules: QualityRules = QualityRules(),
 ) -> DataFrame:
-    """Run `collect` against stored tables and replace them; returns the summary row."""
-    done = collect(
-        tickers, read_metadata(spark, metadata_path), source, read_bars(spark, history_path), run_date, rules
-    )
-    summary = checkpoint(done.summary)
-    metadata = checkpoint(done.metadata)
-    if summary.first().new_records:
-        overwrite_parquet(done.history, history_path)
+    """Run `collect` against stored tables and bring them up to date; returns the summary row.
+
+    The history gets a new version of the months that have new bars; the others are neither read
+    nor written. A table of bars without versions is taken over by the first run.
+    """
+    at = versions.version(spark, history_path)
+    stored = read_bars(spark, history_path)
+    done = collect(tickers, read_metadata(spark, metadata_path), source, stored, run_date, rules)
+    accepted, metadata = checkpoint(done.accepted), checkpoint(done.metadata)
+    base = None if at.number else stored
+    if not accepted.isEmpty():
+        total = versions.upsert(spark, history_path, accepted, upsert_history, base).total
+    else:
+        total = at.total if base is None else base
+    summary = checkpoint(collection_summary(done.status, accepted, total))
     overwrite_csv(metadata, metadata_path)
     return summary
