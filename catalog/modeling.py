@@ -22,15 +22,16 @@ from catalog.base import (
     sql_rd,
     with_ctes,
 )
-from tidemark.config import ModelParams
+from tidemark.config import BoostParams, ModelParams
 from tidemark.functions import arrays as A
 from tidemark.operators import calibrate as C
 from tidemark.operators import evaluate as E
 from tidemark.operators import models as M
 from tidemark.operators import score as S
 from tidemark.operators import splits as L
+from tidemark.operators.boosting import BoostedQuantiles
 from tidemark.operators.features import build_features
-from tidemark.operators.transforms import GroupedPca
+from tidemark.operators.transforms import GroupedPca, ordered_means
 from tidemark.plans import train as TR
 from tidemark.session import checkpoint
 
@@ -483,6 +484,112 @@ def recent_window(spark, sf):
     )
 
 
+# --- category codes and boosted trees -----------------------------------------------------------------
+
+EMBARGO = 5
+
+
+@query(
+    "ordered_codes",
+    with_ctes(
+        ctes_rets(),
+        f"""SELECT {SQL_KEYS}, {sql_rd("(coalesce(s, 0) + 20 * coalesce(ds / dn, 0)) / (coalesce(n, 0) + 20)", 8)} AS code
+FROM (SELECT symbol, date, sum(y) OVER own AS s, count(y) OVER own AS n FROM rets
+  WINDOW own AS (PARTITION BY symbol ORDER BY date
+    RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {EMBARGO} DAYS PRECEDING))
+JOIN (SELECT date, sum(sum(y)) OVER everyone AS ds, nullif(sum(count(y)) OVER everyone, 0) AS dn
+  FROM rets GROUP BY date
+  WINDOW everyone AS (ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {EMBARGO} DAYS PRECEDING))
+USING (date)""",
+    ),
+)
+def ordered_codes(spark, sf):
+    rows = returns(spark, sf).select("symbol", "date", "y_log_returns")
+    coded = ordered_means(rows, "symbol", "y_log_returns", EMBARGO)
+    return coded.select("symbol", day(), rd("encoded", 8).alias("code"))
+
+
+#: Few splits on plain columns, exact sketches and no drawn weights, so that SQL can repeat the fit.
+STUMPS = BoostParams(
+    rounds=3, learning_rate=0.5, depth=1, l2=20.0, borders=6, temperature=0.0, accuracy=10_000_000
+)
+STUMP_COLUMNS = {"close": "close", "log_returns_d": "r", "log_returns_ratio": "rr"}
+
+
+def _sql_stumps() -> str:
+    """Every round: gradients, the best of all (column, border) cuts, residual quantiles of both sides."""
+    p = STUMPS
+    shares = "[" + ", ".join(repr((i + 1) / (p.borders + 1)) for i in range(p.borders)) + "]"
+    columns = list(STUMP_COLUMNS.values())
+    x = ", ".join(f"coalesce(v.{c}, '-infinity'::DOUBLE) AS x{i}" for i, c in enumerate(columns))
+    cuts = " UNION ALL ".join(
+        f"SELECT {i} AS f, unnest(quantile_disc(x{i}, {shares})) AS b FROM rows_ WHERE split = 'train'"
+        for i in range(len(columns))
+    )
+    side = f"CASE f {' '.join(f'WHEN {i} THEN x{i}' for i in range(len(columns)))} END > b"
+    ctes = [
+        *ctes_rets(),
+        SQL_SPLIT,
+        f"""rows_ AS MATERIALIZED (SELECT v.symbol, v.date, s.split, v.y, {x}
+  FROM rets v JOIN splits s ON s.symbol = v.symbol AND s.date = v.date)""",
+        f"cuts_ AS MATERIALIZED (SELECT DISTINCT f, b FROM ({cuts}) WHERE isfinite(b))",
+    ]
+    # the levels are literals, as quantile_disc takes constants only
+    base = " UNION ALL ".join(
+        f"SELECT {i} AS q, {t} AS tau, quantile_disc(y, {t}) AS v FROM rows_ WHERE split = 'train'"
+        for i, t in enumerate(TAUS, 1)
+    )
+    ctes.append(f"f0 AS MATERIALIZED (SELECT r.*, q, tau, v FROM rows_ r, ({base}))")
+    for k in range(p.rounds):
+        leaves = " UNION ALL ".join(
+            f"""SELECT {i} AS q, right_, quantile_disc(y - v, {t}) * {p.learning_rate} * count(*) / (count(*) + {p.l2}) AS add_
+  FROM s{k} WHERE split = 'train' AND q = {i} GROUP BY right_"""
+            for i, t in enumerate(TAUS, 1)
+        )
+        ctes += [
+            f"""g{k} AS (SELECT f, b, q, {side} AS right_, count(*) AS w, sum(tau - CASE WHEN y < v THEN 1 ELSE 0 END) AS g
+  FROM f{k}, cuts_ WHERE split = 'train' GROUP BY ALL)""",
+            f"""best{k} AS MATERIALIZED (SELECT f, b FROM g{k} GROUP BY f, b HAVING count(DISTINCT right_) = 2
+  ORDER BY round(sum(g * g / (w + {p.l2})), 6) DESC, f, b LIMIT 1)""",
+            f"s{k} AS MATERIALIZED (SELECT f{k}.*, {side} AS right_ FROM f{k}, best{k})",
+            f"""f{k + 1} AS MATERIALIZED (SELECT s.symbol, s.date, s.split, s.y, {', '.join(f's.x{i}' for i in range(len(columns)))},
+  s.q, s.tau, s.v + a.add_ AS v FROM s{k} s JOIN ({leaves}) a ON a.q = s.q AND a.right_ = s.right_)""",
+        ]
+    shown = ", ".join(f"{sql_rd(f'vs[{i}]', 7)} AS {q}" for i, q in enumerate(Q5, 1))
+    return with_ctes(
+        ctes,
+        f"""SELECT {SQL_KEYS}, {shown} FROM (SELECT symbol, date, list_sort(list(v)) AS vs
+  FROM f{p.rounds} WHERE split IN ('cal', 'test') GROUP BY symbol, date)""",
+    )
+
+
+@query("boosted_stumps", _sql_stumps())
+def boosted_stumps(spark, sf):
+    columns = list(STUMP_COLUMNS)
+    labelled = returns(spark, sf).where("y_log_returns is not null")
+    rows = L.with_holdout_split(checkpoint(labelled), fractions=FRACTIONS)
+    model = BoostedQuantiles(STUMPS).fit(rows.where("split = 'train'"), columns, "y_log_returns")
+    scored = model.predict(rows.where("split in ('cal', 'test')"))
+    return scored.select(
+        "symbol", day(), *[rd(F.get("yq", F.lit(i)), 7).alias(q) for i, q in enumerate(Q5)]
+    )
+
+
+#: Fewer and larger steps than the default thousand, for a panel of this size.
+BOOST = BoostParams(rounds=12, learning_rate=0.4, depth=3, borders=32, patience=3)
+
+
+@query("boosted_quantiles")
+def boosted_quantiles(spark, sf):
+    trained = TR.train(_features(spark, sf), MODEL, BOOST)
+    return levels(trained.score(trained.sets.where("split = 'test'")))
+
+
+@query("boosted_vs_baseline")
+def boosted_vs_baseline(spark, sf):
+    return TR.evaluate(TR.train(_features(spark, sf), MODEL, BOOST))
+
+
 # --- models: no SQL equivalent, rows only (tests check their invariants) -------------------------------
 
 

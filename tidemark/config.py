@@ -162,6 +162,30 @@ class QualityRules:
             raise ValueError("min_required_data_points must be at least 1")
 
 
+@dataclass(frozen=True)
+class BoostParams:
+    """Boosted trees for several quantiles."""
+
+    # fixed values
+    quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)
+    rounds: int = 1_000
+    learning_rate: float = 0.02
+    depth: int = 5
+    l2: float = 20.0
+    borders: int = 255
+    temperature: float = 0.5
+    patience: int = 80
+    seed: int = 1
+    #: Of the mergeable quantile sketches: ranks are off by at most a part in so many.
+    accuracy: int = 10_000
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.borders <= 255:
+            raise ValueError("bins of a feature must fit in a byte")
+        if self.depth < 1 or self.learning_rate <= 0 or self.l2 < 0:
+            raise ValueError("depth and learning rate must be positive, l2 not negative")
+
+
 @dataclass(frozen=True)
 class ModelParams:
     """Quantile model, split and calibration settings."""

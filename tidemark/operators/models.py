@@ -19,13 +19,10 @@ from tidemark.operators.evaluate import pinball
 from tidemark.operators.transforms import (
     GroupedPca,
     encode_category,
-    out_of_fold_means,
+    ordered_means,
     target_means,
 )
 
-#: Days of a block and number of folds that blocks are dealt to, for out-of-fold codes.
-FOLD_DAYS, FOLDS = 28, 5
-
 
 @dataclass
 class HistoricalQuantiles:
@@ -240,11 +237,13 @@ class Preprocessor:
     pca: GroupedPca
     symbol_means: DataFrame = field(repr=False)
     default: float
+    embargo_days: int = 5
 
     @classmethod
-    def fit(cls, train: DataFrame, target: str) -> Preprocessor:
+    def fit(cls, train: DataFrame, target: str, embargo_days: int = 5) -> Preprocessor:
         overall = train.agg(F.avg(target)).first()[0] or 0.0
-        return cls(GroupedPca.fit(train), target_means(train, "symbol", target), overall)
+        means = target_means(train, "symbol", target)
+        return cls(GroupedPca.fit(train), means, overall, embargo_days)
 
     @property
     def output_columns(self) -> list[str]:
@@ -256,12 +255,9 @@ class Preprocessor:
         return self._with_plain(df)
 
     def transform_fitted(self, df: DataFrame, target: str) -> DataFrame:
-        """The rows this was fitted on, their symbol encoded from other blocks of days only."""
-        fold = F.pmod(F.floor(F.unix_date(F.to_date("date")) / FOLD_DAYS), F.lit(FOLDS))
-        means = out_of_fold_means(df, "symbol", target, fold)
-        df = self.pca.transform(df).withColumn("fold", fold)
-        df = df.join(means.withColumnRenamed("encoded", "symbol_code"), ["symbol", "fold"], "left")
-        return self._with_plain(df.drop("fold"))
+        """The rows this was fitted on, their symbol encoded from earlier days' targets only."""
+        coded = ordered_means(df, "symbol", target, self.embargo_days)
+        return self._with_plain(self.pca.transform(coded).withColumnRenamed("encoded", "symbol_code"))
 
     def _with_plain(self, df: DataFrame) -> DataFrame:
         plain = {c: F.coalesce(clean_double(c), F.lit(0.0)) for c in PASSTHROUGH_FEATURES}
@@ -269,7 +265,7 @@ class Preprocessor:
 
     def save(self, path: str) -> None:
         self.symbol_means.write.mode("overwrite").parquet(f"{path}/symbols")
-        state = {"pca": self.pca.to_json(), "default": self.default}
+        state = {"pca": self.pca.to_json(), "default": self.default, "embargo_days": self.embargo_days}
         _session().createDataFrame([(json.dumps(state),)], "state string").write.mode(
             "overwrite"
         ).parquet(f"{path}/state")
@@ -279,4 +275,5 @@ class Preprocessor:
         spark = _session()
         state = json.loads(spark.read.parquet(f"{path}/state").first().state)
         means = spark.read.parquet(f"{path}/symbols")
-        return cls(GroupedPca.from_json(state["pca"]), means, state["default"])
+        pca = GroupedPca.from_json(state["pca"])
+        return cls(pca, means, state["default"], state.get("embargo_days", 5))
