@@ -24,7 +24,7 @@ PLAIN_FROM, SUFFIX_FIRST = 90, 20
 SEED = "1"
 FIM = "fim struct<n: bigint, form: string, prefix_chars: bigint, middle_chars: bigint, output: string>"
 #: Bytes of text indexed at once.
-INDEXED_BYTES = 16 << 20
+INDEXED_BYTES = 4 << 20
 _ONES = np.uint64(0x0101010101010101)
 
 
@@ -92,20 +92,21 @@ def transform(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.col(f"`{text}`")
     source = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        whole.cast("binary").alias("text"),
         (
             F.coalesce(whole.contains(PREFIX) | whole.contains(SUFFIX) | whole.contains(MIDDLE), F.lit(True))
             | (F.length(whole) == 0)
         ).alias("bare"),
         *[h.alias(f"h{i}") for i, h in enumerate(_draws(F.col("doc_id")), 1)],
     )
-    marks = [m.encode() for m in (PREFIX, SUFFIX, MIDDLE)]
+    marks, at = [m.encode() for m in (PREFIX, SUFFIX, MIDDLE)], names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).fill_null(b"")
-            bare = batch.column(2).to_numpy(zero_copy_only=False)
-            h = [c.to_numpy() for c in batch.columns[3:]]
+            texts = batch.column(0).field(at)
+            texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+            texts = texts.fill_null(b"")
+            bare = batch.column(1).to_numpy(zero_copy_only=False)
+            h = [c.to_numpy() for c in batch.columns[2:]]
             for part in slices(bytes_of(texts)[1], INDEXED_BYTES):
                 data, bounds = bytes_of(texts[part])
                 index = UnitIndex(data)
