@@ -29,10 +29,31 @@ def full(expr, x, n, w):
     return f"CASE WHEN count({x}) OVER {w} = {n} THEN {expr} END"
 
 
+#: Marks a quotient of any size: rounded in units of its own size, as a small divisor magnifies both.
+SIZED = "sized"
+
+
+def _sized(c):
+    size = F.abs(c)
+    unit = F.when(size < 1e3, 1.0).when(size < 1e6, 1e3).when(size < 1e9, 1e6).otherwise(1e9)
+    return rd(F.col(c) / unit, 4) * unit
+
+
+def _sql_sized(c):
+    unit = (
+        f"(CASE WHEN abs({c}) < 1e3 THEN 1e0 WHEN abs({c}) < 1e6 THEN 1e3 "
+        f"WHEN abs({c}) < 1e9 THEN 1e6 ELSE 1e9 END)"
+    )
+    return f"({sql_rd(f'{c} / {unit}', 4)}) * {unit}"
+
+
 def rounded(df, spec, keys=("symbol", "date")):
-    """Keys plus rounded columns; spec maps a column to its digits or (digits, factor)."""
+    """Keys plus rounded columns; spec maps a column to its digits, (digits, factor) or SIZED."""
     out = []
     for c, d in spec.items():
+        if d == SIZED:
+            out.append(_sized(c).alias(c))
+            continue
         digits, factor = d if isinstance(d, tuple) else (d, 1.0)
         out.append(rd(F.col(c) * factor if factor != 1.0 else F.col(c), digits).alias(c))
     return df.select("symbol", day(), *out)
@@ -41,6 +62,9 @@ def rounded(df, spec, keys=("symbol", "date")):
 def sql_rounded(src, spec):
     cols = []
     for c, d in spec.items():
+        if d == SIZED:
+            cols.append(f"{_sql_sized(c)} AS {c}")
+            continue
         digits, factor = d if isinstance(d, tuple) else (d, 1.0)
         cols.append(f"{sql_rd(f'{c} * {factor}' if factor != 1.0 else c, digits)} AS {c}")
     return f"SELECT symbol, CAST(date AS VARCHAR) AS date, {', '.join(cols)} FROM {src}"
@@ -134,36 +158,27 @@ sm AS (SELECT symbol, date, {_sql_moments(15)}, {_sql_moments(9)}
   FROM pw WINDOW {_w("w15", 15)}, {_w("w9", 9)}),
 ss AS (SELECT symbol, date, k15 AS long_kurtosis, k9 AS short_kurtosis, s15 AS long_skew,
   s9 AS short_skew, z15 AS long_zscore, z9 AS short_zscore,
-  CASE WHEN abs(k9) > 0.01 THEN k15 / (k9 + 1e-8) END AS kurtosis_ratio,
-  CASE WHEN abs(s9) > 0.01 THEN s15 / (s9 + 1e-8) END AS skew_ratio,
-  CASE WHEN abs(z9) > 0.01 THEN z15 / (z9 + 1e-8) END AS zscore_ratio FROM sm)"""
+  k15 / (k9 + 1e-8) AS kurtosis_ratio,
+  s15 / (s9 + 1e-8) AS skew_ratio,
+  z15 / (z9 + 1e-8) AS zscore_ratio FROM sm)"""
 
 _PARTS = ["long_kurtosis", "short_kurtosis", "long_skew", "short_skew", "long_zscore", "short_zscore"]
 
 
-def _stats(spark, sf):
-    df = FE.feature_group(panel(spark, sf), "statistical", P, extra=tuple(_PARTS))
-    # ratios are compared where their divisor is not itself rounding noise
-    return df.withColumns(
-        {
-            f"{m}_ratio": F.when(F.abs(f"short_{m}") > 0.01, F.col(f"{m}_ratio"))
-            for m in ("kurtosis", "skew", "zscore")
-        }
-    )
-
+_stats = group("statistical", _PARTS)
 
 feature_query(
     "stat_moments",
     [*ctes_rets(), SQL_STATS],
     "ss",
-    {c: 6 for c in [*_PARTS[:4], "kurtosis_ratio", "skew_ratio"]},
+    {**{c: 6 for c in _PARTS[:4]}, "kurtosis_ratio": SIZED, "skew_ratio": SIZED},
     _stats,
 )
 feature_query(
     "zscore",
     [*ctes_rets(), SQL_STATS],
     "ss",
-    {c: 6 for c in [*_PARTS[4:], "zscore_ratio"]},
+    {**{c: 6 for c in _PARTS[4:]}, "zscore_ratio": SIZED},
     _stats,
 )
 
@@ -225,49 +240,37 @@ vo AS (SELECT f.symbol, f.date, f.k, lag(lv) OVER w AS long_vol_ewm, lag(sv) OVE
   FROM rets f LEFT JOIN es ON es.symbol = f.symbol AND es.k = f.k
   WINDOW w AS (PARTITION BY f.symbol ORDER BY f.date)),
 vf AS (SELECT symbol, date, long_vol_ewm, short_vol_ewm,
-  CASE WHEN short_vol_ewm > 1e-6 THEN long_vol_ewm / short_vol_ewm + 1e-8 END AS vol_ratio,
+  CASE WHEN short_vol_ewm <> 0 THEN long_vol_ewm / short_vol_ewm + 1e-8 END AS vol_ratio,
   {full("stddev_samp(short_vol_ewm) OVER w15", "short_vol_ewm", 15, "w15")} AS vol_of_vol_ewm,
   long_vol_ewm / (lag(long_vol_ewm, 15) OVER w + 1e-8) AS vol_expansion
   FROM vo WINDOW w AS (PARTITION BY symbol ORDER BY date), {_w("w15", 15)})"""
 
 
-def _vol(spark, sf):
-    df = FE.feature_group(
-        panel(spark, sf), "volatility", P, extra=("long_vol_ewm", "short_vol_ewm")
-    )
-    return df.withColumn("vol_ratio", F.when(F.col("short_vol_ewm") > 1e-6, F.col("vol_ratio")))
-
+_vol = group("volatility", ("long_vol_ewm", "short_vol_ewm"))
 
 feature_query(
     "ewm_volatility",
     [*ctes_rets(), SQL_VOL],
     "vf",
-    {"long_vol_ewm": 7, "short_vol_ewm": 7, "vol_ratio": 6},
+    {"long_vol_ewm": 7, "short_vol_ewm": 7, "vol_ratio": SIZED},
     _vol,
 )
 feature_query(
     "vol_features",
-    [*ctes_rets(), SQL_VOL, "vx AS (SELECT symbol, date, vol_of_vol_ewm,"
-     " CASE WHEN vol_expansion < 1e4 THEN vol_expansion END AS vol_expansion FROM vf)"],
-    "vx",
-    {"vol_of_vol_ewm": 7, "vol_expansion": 5},
-    lambda spark, sf: _vol(spark, sf).withColumn(
-        "vol_expansion", F.when(F.col("vol_expansion") < 1e4, F.col("vol_expansion"))
-    ),
+    [*ctes_rets(), SQL_VOL],
+    "vf",
+    {"vol_of_vol_ewm": 7, "vol_expansion": SIZED},
+    _vol,
 )
+SQL_RISK = """ra AS (SELECT mo.symbol, mo.date, long_short_momentum / (long_vol_ewm + 1e-8) AS risk_adj_momentum
+  FROM mo JOIN vf ON vf.symbol = mo.symbol AND vf.date = mo.date)"""
+
 feature_query(
     "risk_adj_momentum",
-    [*ctes_rets(), SQL_UPDN, SQL_MOMENTUM, SQL_VOL,
-     "ra AS (SELECT mo.symbol, mo.date, CASE WHEN long_vol_ewm > 1e-6 THEN"
-     " long_short_momentum / (long_vol_ewm + 1e-8) END AS risk_adj_momentum"
-     " FROM mo JOIN vf ON vf.symbol = mo.symbol AND vf.date = mo.date)"],
+    [*ctes_rets(), SQL_UPDN, SQL_MOMENTUM, SQL_VOL, SQL_RISK],
     "ra",
-    {"risk_adj_momentum": 6},
-    lambda spark, sf: FE.feature_group(
-        panel(spark, sf), "momentum", P, extra=("long_vol_ewm",)
-    ).withColumn(
-        "risk_adj_momentum", F.when(F.col("long_vol_ewm") > 1e-6, F.col("risk_adj_momentum"))
-    ),
+    {"risk_adj_momentum": SIZED},
+    group("momentum"),
 )
 
 # --- channels ----------------------------------------------------------------------------------
@@ -300,30 +303,12 @@ feature_query(
     "channel_lines", CTES_CHANNEL, "ch", {c: 6 for c in _LINES}, group("channel", _LINES)
 )
 
-# where the true range is zero the padded divisor turns rounding noise into signal
 _ATR = ["price_above_cloud_atr", "price_below_cloud_atr", "tenkan_kijun_spread_atr",
         "cloud_thickness_atr", "price_vs_lead_top_atr", "price_vs_lead_bot_atr"]
 
 
-def _where_ranging(cols):
-    def build(spark, sf):
-        df = FE.feature_group(panel(spark, sf), "channel", P)
-        return df.withColumns({c: F.when(F.col("atr") > 1e-6, F.col(c)) for c in cols})
-
-    return build
-
-
-def _sql_ranging(cols, src):
-    picked = ", ".join(f"CASE WHEN atr > 1e-6 THEN {c} END AS {c}" for c in cols)
-    return f"rg AS (SELECT symbol, date, atr, {picked} FROM {src})"
-
-
 feature_query(
-    "channel_atr",
-    [*CTES_CHANNEL, _sql_ranging(_ATR, "ch")],
-    "rg",
-    {"atr": 6, **{c: 6 for c in _ATR}},
-    _where_ranging(_ATR),
+    "channel_atr", CTES_CHANNEL, "ch", {"atr": 6, **{c: SIZED for c in _ATR}}, group("channel")
 )
 
 _SLOPES = {"tenkan_slope": "tenkan", "kijun_slope": "kijun", "span_a_slope": "span_a_now",
@@ -354,8 +339,8 @@ SQL_REGIME = f"""rg0 AS (SELECT *, CAST(close > cloud_top_now AS INTEGER) AS abo
 rgm AS (SELECT *, {full("avg(above_cloud) OVER w9", "above_cloud", 9, "w9")} AS above_cloud_persist,
     {full("avg(below_cloud) OVER w9", "below_cloud", 9, "w9")} AS below_cloud_persist,
     {full("sum(twist_event) OVER w9", "twist_event", 9, "w9")} AS twist_recent,
-    CASE WHEN atr > 1e-6 THEN tenkan_kijun_spread_atr * above_cloud END AS bull_strength,
-    CASE WHEN atr > 1e-6 THEN (kijun - tenkan) / atr * below_cloud END AS bear_strength
+    tenkan_kijun_spread_atr * above_cloud AS bull_strength,
+    (kijun - tenkan) / atr * below_cloud AS bear_strength
   FROM rg0 WINDOW {_w("w9", 9)})"""
 CTES_REGIME = [*CTES_CHANNEL, SQL_REGIME]
 _STRENGTH = ["bull_strength", "bear_strength"]
@@ -364,9 +349,12 @@ feature_query(
     "channel_regime",
     CTES_REGIME,
     "rgm",
-    {c: 6 for c in ["above_cloud", "between_cloud", "below_cloud", "above_cloud_persist",
-                    "below_cloud_persist", *_STRENGTH]},
-    _where_ranging(_STRENGTH),
+    {
+        **{c: 6 for c in ("above_cloud", "between_cloud", "below_cloud", "above_cloud_persist",
+                          "below_cloud_persist")},
+        **{c: SIZED for c in _STRENGTH},
+    },
+    group("channel"),
 )
 feature_query(
     "channel_crosses",
@@ -381,8 +369,9 @@ feature_query(
 
 # --- the whole table ------------------------------------------------------------------------------
 
-# All columns of the table but the fourteen quotients whose divisor can be rounding noise; the
-# queries above compare those where it is not.
+# all 56 columns
+_QUOTIENTS = ["kurtosis_ratio", "skew_ratio", "zscore_ratio", "risk_adj_momentum", "vol_ratio", "vol_expansion",
+              *_ATR, *_STRENGTH]
 _TABLE = {
     **{c: 6 for c in ("open", "high", "low", "close")},
     **{c: 0 for c in ("volume", "year", "month", "day_of_week", "day_of_year")},
@@ -399,6 +388,7 @@ _TABLE = {
                   "tenkan_cross_dn", "price_break_up", "price_break_dn", "twist_event",
                   "twist_recent")
     },
+    **{c: SIZED for c in _QUOTIENTS},
 }
 SQL_SLOPES = (
     "sl AS (SELECT symbol, date, "
@@ -412,16 +402,18 @@ SQL_TABLE = f"""ft AS (SELECT a.symbol, a.date, a.open, a.high, a.low, a.close,
   lq.turnover_proxy, ac.autocorr_r2, iq.iqr_vol, mo.long_short_momentum, mo.cmo, vf.vol_of_vol_ewm,
   {", ".join(f"sl.{c}" for c in _SLOPES)}, g.above_cloud, g.between_cloud, g.below_cloud,
   g.above_cloud_persist, g.below_cloud_persist, g.tenkan_cross_up, g.tenkan_cross_dn,
-  g.price_break_up, g.price_break_dn, g.twist_event, g.twist_recent, g.atr
+  g.price_break_up, g.price_break_dn, g.twist_event, g.twist_recent, g.atr,
+  ss.kurtosis_ratio, ss.skew_ratio, ss.zscore_ratio, ra.risk_adj_momentum, vf.vol_ratio, vf.vol_expansion,
+  {", ".join(f"g.{c}" for c in [*_ATR, *_STRENGTH])}
   FROM rets a JOIN st USING (symbol, date) JOIN lq USING (symbol, date)
   JOIN ac USING (symbol, date) JOIN iq USING (symbol, date) JOIN mo USING (symbol, date)
   JOIN vf USING (symbol, date) JOIN rgm g USING (symbol, date) JOIN sl USING (symbol, date)
-  JOIN rsi USING (symbol, date))"""
+  JOIN rsi USING (symbol, date) JOIN ss USING (symbol, date) JOIN ra USING (symbol, date))"""
 CTES_TABLE = [
     # every group reads these, so they are worked out once
     *[c.replace("rets AS (", "rets AS MATERIALIZED (", 1) for c in CTES_REGIME],
     SQL_UPDN, SQL_STRENGTH, SQL_LIQUIDITY, SQL_AUTOCORR, SQL_IQR, SQL_MOMENTUM, SQL_VOL, SQL_RSI,
-    SQL_SLOPES, SQL_TABLE,
+    SQL_STATS, SQL_RISK, SQL_SLOPES, SQL_TABLE,
 ]
 
 feature_query(
