@@ -33,13 +33,13 @@ def full(expr, x, n, w):
 SIZED = "sized"
 
 
-def _sized(c):
+def sized(c):
     size = F.abs(c)
     unit = F.when(size < 1e3, 1.0).when(size < 1e6, 1e3).when(size < 1e9, 1e6).otherwise(1e9)
     return rd(F.col(c) / unit, 4) * unit
 
 
-def _sql_sized(c):
+def sql_sized(c):
     unit = (
         f"(CASE WHEN abs({c}) < 1e3 THEN 1e0 WHEN abs({c}) < 1e6 THEN 1e3 "
         f"WHEN abs({c}) < 1e9 THEN 1e6 ELSE 1e9 END)"
@@ -52,7 +52,7 @@ def rounded(df, spec, keys=("symbol", "date")):
     out = []
     for c, d in spec.items():
         if d == SIZED:
-            out.append(_sized(c).alias(c))
+            out.append(sized(c).alias(c))
             continue
         digits, factor = d if isinstance(d, tuple) else (d, 1.0)
         out.append(rd(F.col(c) * factor if factor != 1.0 else F.col(c), digits).alias(c))
@@ -63,7 +63,7 @@ def sql_rounded(src, spec):
     cols = []
     for c, d in spec.items():
         if d == SIZED:
-            cols.append(f"{_sql_sized(c)} AS {c}")
+            cols.append(f"{sql_sized(c)} AS {c}")
             continue
         digits, factor = d if isinstance(d, tuple) else (d, 1.0)
         cols.append(f"{sql_rd(f'{c} * {factor}' if factor != 1.0 else c, digits)} AS {c}")
@@ -372,7 +372,7 @@ feature_query(
 # all 56 columns
 _QUOTIENTS = ["kurtosis_ratio", "skew_ratio", "zscore_ratio", "risk_adj_momentum", "vol_ratio", "vol_expansion",
               *_ATR, *_STRENGTH]
-_TABLE = {
+TABLE = {
     **{c: 6 for c in ("open", "high", "low", "close")},
     **{c: 0 for c in ("volume", "year", "month", "day_of_week", "day_of_year")},
     **{c: 9 for c in ("log_returns_d", "log_returns_ratio", "y_log_returns", "iqr_vol")},
@@ -417,7 +417,7 @@ CTES_TABLE = [
 ]
 
 feature_query(
-    "feature_table", CTES_TABLE, "ft", _TABLE,
+    "feature_table", CTES_TABLE, "ft", TABLE,
     lambda spark, sf: FE.build_features(panel(spark, sf), P),
 )
 
@@ -430,4 +430,4 @@ def _assembled(spark, sf):
     return FE.assemble_features(*[FE.feature_group(p, g, P) for g in parts])
 
 
-feature_query("feature_assembly_join", CTES_TABLE, "ft", _TABLE, _assembled)
+feature_query("feature_assembly_join", CTES_TABLE, "ft", TABLE, _assembled)

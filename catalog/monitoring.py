@@ -18,6 +18,8 @@ from catalog.base import (
     sql_rd,
     with_ctes,
 )
+from catalog.features import CTES_TABLE, rounded, sized, sql_rounded, sql_sized
+from catalog.features import TABLE as FEATURE_SPEC
 from catalog.modeling import (
     _AE,
     _C,
@@ -40,7 +42,6 @@ from tidemark.plans.train import train
 from tidemark.session import checkpoint
 
 QUERIES, SQL = {}, {}
-COLUMNS = ["close", "volume", "log_returns_d", "log_returns_ratio"]
 
 
 def query(name, sql=None):
@@ -58,10 +59,13 @@ def halves(df):
     return df.where(F.col("date") < cut), df.where(F.col("date") >= cut)
 
 
-SQL_LONG = f"""lng AS (SELECT entity, CAST(value AS DOUBLE) AS v, is_ref FROM (
-  SELECT unnest(['close', 'volume', 'log_returns_d', 'log_returns_ratio']) AS entity,
-         unnest([close, CAST(volume AS DOUBLE), r, rr]) AS value,
-         CAST(date < DATE '{MID_DATE}' AS INTEGER) AS is_ref FROM rets) WHERE value IS NOT NULL)"""
+# All numeric model features, rounded as the feature table shows them: what is equal there is
+# one value in both samples and in both systems.
+SQL_LONG = f"""tb AS MATERIALIZED ({sql_rounded("ft", FEATURE_SPEC)}),
+lng AS MATERIALIZED (SELECT entity, CAST(value AS DOUBLE) AS v, is_ref FROM (
+  SELECT unnest([{", ".join(f"'{c}'" for c in GROUPED_FEATURES)}]) AS entity,
+         unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in GROUPED_FEATURES)}]) AS value,
+         CAST(date < '{MID_DATE}' AS INTEGER) AS is_ref FROM tb) WHERE value IS NOT NULL)"""
 
 SQL_DRIFT = """sz AS (SELECT entity, CAST(sum(is_ref) AS DOUBLE) AS nr,
        CAST(sum(1 - is_ref) AS DOUBLE) AS nc, min(v) AS mn, max(v) AS mx FROM lng GROUP BY entity),
@@ -95,12 +99,12 @@ dr AS (SELECT sz.entity, CAST(nr AS BIGINT) AS reference_n, CAST(nc AS BIGINT) A
          * exp(-2.0 * k * k * ks * ks * nr * nc / (nr + nc)))), 1.0), 0.0) END AS kp
        FROM sz JOIN kw USING (entity) JOIN psi USING (entity) JOIN js USING (entity))"""
 
-CTES_DRIFT = [*ctes_rets(), SQL_LONG, SQL_DRIFT]
+CTES_DRIFT = [*CTES_TABLE, SQL_LONG, SQL_DRIFT]
 
 
 def feature_drift(spark, sf):
-    ref, cur = halves(checkpoint(returns(spark, sf)))
-    return D.feature_drift(ref, cur, COLUMNS)
+    ref, cur = halves(checkpoint(rounded(build_features(panel(spark, sf), P), FEATURE_SPEC)))
+    return D.feature_drift(ref, cur, GROUPED_FEATURES)
 
 
 @query(
@@ -108,13 +112,16 @@ def feature_drift(spark, sf):
     with_ctes(
         CTES_DRIFT,
         f"""SELECT entity, reference_n, current_n, {sql_rd('ks')} AS ks_statistic,
-  {sql_rd('kp')} AS ks_p_value, {sql_rd('w1')} AS wasserstein_distance FROM dr""",
+  {sql_rd('kp')} AS ks_p_value, {sql_sized('w1')} AS wasserstein_distance FROM dr""",
     ),
 )
 def drift_ks_w1(spark, sf):
-    cols = ["ks_statistic", "ks_p_value", "wasserstein_distance"]
     return feature_drift(spark, sf).select(
-        "entity", "reference_n", "current_n", *[rd(c).alias(c) for c in cols]
+        "entity",
+        "reference_n",
+        "current_n",
+        *[rd(c).alias(c) for c in ("ks_statistic", "ks_p_value")],
+        sized("wasserstein_distance").alias("wasserstein_distance"),
     )
 
 
@@ -142,15 +149,18 @@ def drift_js(spark, sf):
         CTES_DRIFT,
         f"""SELECT {sql_rd('avg(psi)')} AS mean_psi, {sql_rd('max(psi)')} AS max_psi,
   {sql_rd('avg(CAST(psi > 0.2 AS DOUBLE))')} AS fraction_drifted_features_psi,
-  {sql_rd('avg(w1)')} AS mean_wasserstein,
+  {sql_sized('avg(w1)')} AS mean_wasserstein,
   {sql_rd('avg(CAST(kp < 0.05 AS DOUBLE))')} AS fraction_significant_ks,
   count(*) AS n_features_analyzed FROM dr""",
     ),
 )
 def drift_features(spark, sf):
     s = D.feature_drift_summary(feature_drift(spark, sf))
+    others = [c for c in s.columns if c not in ("n_features_analyzed", "mean_wasserstein")]
     return s.select(
-        *[rd(c).alias(c) for c in s.columns if c != "n_features_analyzed"], "n_features_analyzed"
+        *[rd(c).alias(c) for c in others],
+        sized("mean_wasserstein").alias("mean_wasserstein"),
+        "n_features_analyzed",
     )
 
 
@@ -199,7 +209,23 @@ lev AS (SELECT (sum(n) - 2) * sum(n * pow(zm - g, 2)) / sum(ss) AS w FROM zs, zg
 a AS (SELECT * FROM mo WHERE is_ref = 1), c AS (SELECT * FROM mo WHERE is_ref = 0),
 tg AS (SELECT dr.ks, dr.kp, dr.psi, dr.w1, dr.js, a.n AS an, c.n AS cn, a.m AS am, c.m AS cm,
        a.s AS as_, c.s AS cs, a.sk AS ask, c.sk AS csk, a.k AS ak, c.k AS ck,
-       (a.m - c.m) / sqrt(a.vs / a.n + c.vs / c.n) AS t, w FROM dr, a, c, lev)"""
+       (a.m - c.m) / sqrt(a.vs / a.n + c.vs / c.n) AS t, w,
+       pow(a.vs / a.n + c.vs / c.n, 2) / (pow(a.vs / a.n, 2) / (a.n - 1) + pow(c.vs / c.n, 2) / (c.n - 1))
+         AS dof FROM dr, a, c, lev)"""
+
+
+def _sql_student_p(x: str, dof: str) -> str:
+    """Two-sided tail of Student's law: one less twice the density's integral, by Simpson's rule."""
+    n = 4000
+    weight = f"CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = (
+        f"list_sum(list_transform(range({n + 1}), lambda i: ({weight}) * "
+        f"pow(1 + pow(i * abs({x}) / {n}, 2) / ({dof}), -(({dof}) + 1) / 2)))"
+    )
+    norm = f"exp(lgamma((({dof}) + 1) / 2) - lgamma(({dof}) / 2)) / sqrt(pi() * ({dof}))"
+    return f"1 - 2 * {norm} * {area} * abs({x}) / {3 * n}"
+
+
 SQL_TARGET_METRICS = {
     "ks_statistic": "ks",
     "ks_p_value": "kp",
@@ -219,7 +245,10 @@ SQL_TARGET_METRICS = {
     "curr_kurtosis": "ck",
     "kurtosis_shift": "ck - ak",
     "mean_diff_t_stat": "t",
+    "mean_diff_p_value": _sql_student_p("t", "dof"),
     "variance_levene_stat": "w",
+    # an F test with one degree of freedom above is Student's on the root
+    "variance_levene_p_value": _sql_student_p("sqrt(w)", "an + cn - 2"),
     "reference_n": "an",
     "current_n": "cn",
 }
@@ -234,10 +263,7 @@ SQL_TARGET_METRICS = {
 )
 def drift_target(spark, sf):
     ref, cur = halves(checkpoint(returns(spark, sf).select("date", "y_log_returns")))
-    out = D.target_drift(ref, cur, "y_log_returns")
-    # the tail probabilities have no SQL counterpart and are checked by tests
-    tails = ["mean_diff_p_value", "variance_levene_p_value"]
-    return out.where(~F.col("metric").isin(tails)).select("metric", rd("value").alias("value"))
+    return D.target_drift(ref, cur, "y_log_returns").select("metric", rd("value").alias("value"))
 
 
 # --- performance -------------------------------------------------------------------------------
