@@ -171,10 +171,9 @@ def weight(n_docs: int, holders: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * holders + 1)))
 
 
-def _prepare(rows: list, holders: dict[str, int], n_docs: int) -> Queries:
+def _prepare(rows: list, terms: list[str], holders: dict[str, int], n_docs: int) -> Queries:
     """Queries over the terms that some document holds, with a positive weight."""
-    terms = sorted(holders)
-    weights = np.array([weight(n_docs, holders[t]) for t in terms], np.int64)
+    weights = np.array([weight(n_docs, holders[t]) if t in holders else 0 for t in terms], np.int64)
     number = {t: i for i, t in enumerate(terms) if weights[i] > 0}
     pairs: dict[tuple[int, int], int] = {}
     items, of = [], []
@@ -200,16 +199,17 @@ def _ranges(n_docs: int) -> np.ndarray:
     return np.arange(0, n_docs, RANGE)
 
 
-def pair_lists(index: DataFrame, queries: Queries, n_docs: int, n_words: int) -> DataFrame:
+def pair_lists(index: DataFrame, wanted: DataFrame, queries: Queries, n_docs: int, n_words: int) -> DataFrame:
     """One row for each block that holds a term of `queries`, impacts and joint maxima worked in.
 
+    `wanted` has the queries' terms as (number, term).
+
     `maxima` are the weighted impacts' maxima for each term and range of documents, `joint`
     those of the sum of both terms of a pair for each pair that the block holds. The group of a
     block is bounded by the block.
     """
     ship_package(index.sparkSession)
-    spark, weights, pairs = index.sparkSession, queries.weights, queries.pairs
-    wanted = spark.createDataFrame(list(enumerate(queries.terms)), "number int, term string")
+    weights, pairs = queries.weights, queries.pairs
     id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
     found = index.where("term is not null").join(wanted, "term")
     lengths = index.where("term is null").select("block", F.lit(-1).alias("number"), "docs", "counts", "doc_ids", "lengths")
@@ -391,11 +391,12 @@ def _ranked(rows: DataFrame, top: int) -> DataFrame:
 def _search(index: DataFrame, rows: list, id_type: str, n_docs: int, n_words: int, top: int) -> DataFrame:
     spark = index.sparkSession
     terms = sorted(set().union(*(_terms(text) for _, text in rows)))
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+    # stored, so that Spark knows how small it is and need not shuffle the index to join it
+    wanted = written(spark.createDataFrame(list(enumerate(terms)), "number int, term string"), "terms-wanted")
     counted = index.where("term is not null").join(wanted, "term").groupBy("term")
     holders = {r["term"]: r["n"] for r in counted.agg(F.sum("n_docs").alias("n")).collect()}
-    queries = _prepare(rows, holders, n_docs)
-    blocks = written(pair_lists(index, queries, n_docs, n_words), "pair-lists")
+    queries = _prepare(rows, terms, holders, n_docs)
+    blocks = written(pair_lists(index, wanted, queries, n_docs, n_words), "pair-lists")
     promising = Window.partitionBy("item").orderBy(F.desc("bound"), "block")
     first = (
         _bounds(blocks, queries)
@@ -407,7 +408,8 @@ def _search(index: DataFrame, rows: list, id_type: str, n_docs: int, n_words: in
     chosen: dict[int, set[int]] = {}
     for r in first:
         chosen.setdefault(r["block"], set()).add(r["item"])
-    some = blocks.join(spark.createDataFrame([(b,) for b in chosen], "block bigint"), "block", "left_semi")
+    picked = written(spark.createDataFrame([(b,) for b in chosen], "block bigint"), "first-blocks")
+    some = blocks.join(picked, "block", "left_semi")
     best = written(_ranked(_evaluate(some, queries, chosen, None, top), top).drop("rank"), "first-best")
     # a query with `top` documents needs no more that score below the last of them
     least = best.groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least"))
