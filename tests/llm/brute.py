@@ -189,3 +189,45 @@ def url_rule(url):
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p)
     ]
     return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def license_labels(text, base, notices, cover=0.7, drift=6, k=2):
+    """(labels, score): whole phrases, and long notices whose k-grams stand within a band of diagonals."""
+    w, labels, score = plain(text), set(), 0.0
+    for phrase, label in [*base, *notices]:
+        p = phrase.split()
+        if len(p) <= 8:
+            if any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1)):
+                labels.add(label)
+                score = 1.0
+            continue
+        stands = defaultdict(set)
+        for i in range(len(w) - k + 1):
+            for j in range(len(p) - k + 1):
+                if w[i : i + k] == p[j : j + k]:
+                    stands[i - j].add(j)
+        for d in stands:
+            held = set().union(*[stands[x] for x in range(d, d + drift + 1) if x in stands])
+            if len(held) / (len(p) - k + 1) >= cover:
+                labels.add(label)
+                score = max(score, len(held) / (len(p) - k + 1))
+    return ",".join(sorted(labels)), score
+
+
+def alias_verdicts(pages, edges, normal):
+    """{page_id: verdict} of (page_id, url) rows; edges are (url, url), `normal` spells a URL one way."""
+    nodes = {normal(u) for _, u in pages if normal(u)} | {normal(u) for e in edges for u in e}
+    nodes = sorted(nodes)
+    at = {n: i for i, n in enumerate(nodes)}
+    root = roots(len(nodes), [(at[normal(a)], at[normal(b)]) for a, b in edges])
+    decided = defaultdict(set)
+    for u in [u for _, u in pages if normal(u)] + [u for e in edges for u in e]:
+        action = url_rule(u)[3]
+        if action:
+            decided[root[at[normal(u)]]].add(action)
+    out = {}
+    for page, u in pages:
+        own = url_rule(u)[3]
+        shared = decided.get(root[at[normal(u)]], set()) if normal(u) else set()
+        out[page] = own or ("allow" if "allow" in shared or not shared else "block")
+    return out

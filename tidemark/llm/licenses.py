@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import plain_words, written
+from tidemark.llm.shared import free, plain_words, written
 
 #: Words in a k-gram; the shortest template has as many.
 K = 2
 #: Share of a long template's k-grams that a span must vote for.
 COVER = 0.7
-#: Diagonals of one template up to so many words apart are one span (words added or left out).
-DRIFT = 3
+#: Words added or left out in a span, at most: its diagonals lie in a band of this width.
+DRIFT = 6
 
 # The phrases and labels of the base, whose words must stand consecutively.
 BASE = (
@@ -79,9 +79,11 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text", notices=NOTICES)
     rolling k-gram hashes of all words are joined to the template positions; the
     words themselves then decide, so a hash that agrees by chance is no vote. Votes
     are added by diagonal (place in the text less place in the template). A
-    diagonal with a vote for every k-gram is the phrase standing there in full; for
-    templates of over eight words, neighbouring diagonals up to DRIFT apart are
-    merged and a span is kept if its votes cover COVER of the k-grams.
+    diagonal with a vote for every k-gram is the phrase standing there in full. For
+    templates of over eight words, neighbouring diagonals are merged in bands of DRIFT, which
+    bounds how far a span may drift as a whole, and a band is kept if COVER of the template's
+    k-grams stand in it: a k-gram that the text repeats is one place of the template and
+    counts once. Bands that overlap are one span, with the best band's ends and cover.
     """
     marks = templates(docs.sparkSession, notices)
     # at most one row for each k-gram of the lists above
@@ -106,36 +108,40 @@ def spans(docs: DataFrame, keys: list[str], text: str = "text", notices=NOTICES)
     votes = written(votes, "license-votes")
     long_one = F.col("length") > 8
     diagonals = votes.groupBy(*keys, "template", "label", "base", "length", "diagonal").agg(
-        F.count_distinct("place").alias("votes"),
+        # at most one place for each word of the template
+        F.collect_set("place").alias("places"),
         F.min("place").alias("low"),
         F.max("place").alias("high"),
     )
-    exact = diagonals.where(~long_one & (F.col("votes") == F.col("length") - K + 1)).select(
+    exact = diagonals.where(~long_one & (F.size("places") == F.col("length") - K + 1)).select(
         *keys, "template", "label", "base",
         F.col("diagonal").cast("long").alias("first"),
         (F.col("diagonal") + F.col("length") - 1).cast("long").alias("last"),
-        F.col("votes").cast("long").alias("votes"),
+        F.size("places").cast("long").alias("votes"),
         F.lit(1.0).alias("cover"),
     )
-    # neighbouring diagonals: a new span begins where the step from the one before is too large
+    # a band's diagonals, at most DRIFT + 1 of them
     order = Window.partitionBy(*keys, "template").orderBy("diagonal")
+    band = order.rangeBetween(0, DRIFT)
+    verified = (
+        diagonals.where(long_one)
+        .withColumn("votes", F.size(F.array_distinct(F.flatten(F.collect_list("places").over(band)))))
+        .withColumn("begin", F.min(F.col("diagonal") + F.col("low")).over(band))
+        .withColumn("end", F.max(F.col("diagonal") + F.col("high") + (K - 1)).over(band))
+        .withColumn("cover", F.col("votes") / (F.col("length") - K + 1))
+        .where(F.col("cover") >= COVER)
+    )
     step = F.col("diagonal") - F.lag("diagonal").over(order)
+    best = F.max(F.struct("votes", (-F.col("begin")).alias("back"), "end", "cover"))
     merged = (
-        diagonals.where(long_one)
-        .withColumn("new", F.when(step <= DRIFT, 0).otherwise(1))
+        verified.withColumn("new", F.when(step <= DRIFT, 0).otherwise(1))
         .withColumn("span", F.sum("new").over(order))
-        .groupBy(*keys, "template", "label", "base", "length", "span")
-        .agg(
-            F.sum("votes").alias("votes"),
-            F.min(F.col("diagonal") + F.col("low")).alias("first"),
-            F.max(F.col("diagonal") + F.col("high") + (K - 1)).alias("last"),
-        )
-        .withColumn("cover", F.least(F.lit(1.0), F.col("votes") / (F.col("length") - K + 1)))
-        .where(F.col("cover") >= COVER)
+        .groupBy(*keys, "template", "label", "base", "span")
+        .agg(best.alias("best"))
         .select(
             *keys, "template", "label", "base",
-            F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"),
-            F.col("votes").cast("long").alias("votes"), "cover",
+            (-F.col("best.back")).cast("long").alias("first"), F.col("best.end").cast("long").alias("last"),
+            F.col("best.votes").cast("long").alias("votes"), F.col("best.cover").alias("cover"),
         )
     )
     return exact.unionByName(merged)
@@ -156,13 +162,14 @@ def scan(docs: DataFrame, text: str = "text", notices=NOTICES) -> DataFrame:
     columns = [c for c in docs.columns if c != "license"]
     own = [F.col(f"`{c}`") for c in columns]
     # counted before the join, which then moves texts only if they are asked for
+    keys = ["_id", "_hash_of_text"]
+    own_id, own_hash, n_words = free(docs, "_own_id", "_own_hash", "_n_words")
     keyed = docs.select(
         *own,
-        F.col("doc_id").alias("_id"),
-        F.xxhash64(f"`{text}`").alias("_hash_of_text"),
-        F.size(plain_words(F.col(f"`{text}`"))).cast("long").alias("_n_words"),
+        F.col("doc_id").alias(own_id),
+        F.xxhash64(f"`{text}`").alias(own_hash),
+        F.size(plain_words(F.col(f"`{text}`"))).cast("long").alias(n_words),
     )
-    keys = ["_id", "_hash_of_text"]
     once = docs.select(
         F.col("doc_id").alias("_id"),
         F.xxhash64(f"`{text}`").alias("_hash_of_text"),
@@ -182,23 +189,27 @@ def scan(docs: DataFrame, text: str = "text", notices=NOTICES) -> DataFrame:
             F.max("cover").alias("score"),
             F.count("*").alias("n_spans"),
         )
-        .withColumnsRenamed({k: f"{k}2" for k in keys})
     )
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}2"))
+    results = ["n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_spans"]
+    # one column, so that no name of the documents' meets one of these
+    (license_,) = free(docs, "_license")
+    per = per.select(*keys, F.struct(*results).alias(license_))
+    other_id, other_hash = free(docs, "_other_id", "_other_hash")
+    renamed = {"_id": other_id, "_hash_of_text": other_hash}
+    match = F.col(own_id).eqNullSafe(F.col(other_id)) & (F.col(own_hash) == F.col(other_hash))
+    of = F.col(license_)
     zero: Column = F.lit(0).cast("long")
     none = F.array().cast("array<string>")
-    return keyed.join(per, match, "left").select(
+    return keyed.join(per.withColumnsRenamed(renamed), match, "left").select(
         *own,
         F.struct(
-            F.col("_n_words").alias("n_words"),
-            F.coalesce("n_base", zero).alias("n_base"),
-            "first_word",
-            "last_word",
-            F.array_join(F.coalesce("base_labels", none), ",").alias("base_labels"),
-            F.array_join(F.coalesce("labels", none), ",").alias("labels"),
-            F.coalesce("score", F.lit(0.0)).alias("score"),
-            F.coalesce("n_spans", zero).alias("n_spans"),
+            F.col(n_words).alias("n_words"),
+            F.coalesce(of["n_base"], zero).alias("n_base"),
+            of["first_word"].alias("first_word"),
+            of["last_word"].alias("last_word"),
+            F.array_join(F.coalesce(of["base_labels"], none), ",").alias("base_labels"),
+            F.array_join(F.coalesce(of["labels"], none), ",").alias("labels"),
+            F.coalesce(of["score"], F.lit(0.0)).alias("score"),
+            F.coalesce(of["n_spans"], zero).alias("n_spans"),
         ).alias("license"),
     )

@@ -50,18 +50,16 @@ def op2() -> str:
 m(template, label, base, length, place, gram) AS (VALUES {", ".join(rows)}),
 g AS (SELECT doc_id, i, {_chain(k)} AS gram FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 dia AS (SELECT doc_id, template, label, base, length, i - place AS diagonal,
-    count(DISTINCT place) AS votes, min(place) AS low, max(place) AS high
+    list(DISTINCT place) AS places
   FROM g JOIN m ON m.gram = g.gram
   GROUP BY doc_id, template, label, base, length, i - place),
-steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {licenses.DRIFT} THEN 0 ELSE 1 END AS new
-  FROM dia WHERE length > 8 WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM steps),
+bands AS (SELECT doc_id, label, base, length, diagonal, len(list_distinct(flatten(list(places) OVER o))) AS votes
+  FROM dia WHERE length > 8 WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal
+    RANGE BETWEEN CURRENT ROW AND {licenses.DRIFT} FOLLOWING)),
 spans AS (SELECT doc_id, label, base, diagonal AS begins, CAST(1 AS DOUBLE) AS cover FROM dia
-    WHERE length <= 8 AND votes = length - {k - 1}
-  UNION ALL SELECT doc_id, label, base, begins, cover FROM (
-    SELECT doc_id, template, label, base, length, span, min(diagonal + low) AS begins,
-      least(CAST(1 AS DOUBLE), CAST(sum(votes) AS DOUBLE) / (length - {k - 1})) AS cover
-    FROM runs GROUP BY doc_id, template, label, base, length, span) WHERE cover >= {licenses.COVER}),
+    WHERE length <= 8 AND len(places) = length - {k - 1}
+  UNION ALL SELECT doc_id, label, base, diagonal, CAST(votes AS DOUBLE) / (length - {k - 1}) AS cover
+    FROM bands WHERE CAST(votes AS DOUBLE) / (length - {k - 1}) >= {licenses.COVER}),
 per AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base,
     min(begins) FILTER (WHERE base) AS first_word, max(begins) FILTER (WHERE base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
