@@ -98,14 +98,17 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(source, target): URLs that pages name as their canonical form or send readers on to."""
+    """(source, target): URLs that pages name as their canonical form or send readers on to.
+
+    A target whose escapes are malformed is no edge.
+    """
     url, html = F.col("url"), F.col("html")
     link = F.regexp_extract(html, _LINK, 0)
     href = F.concat(*[F.regexp_extract(link, _HREF, i) for i in (1, 2, 3)])
     canonical = F.when(F.contains(F.lower(html), F.lit("canonical")), _absolute(href, url))
     to = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1)
     refresh = F.when(F.contains(F.lower(html), F.lit("http-equiv")), _absolute(to, url))
-    onward = F.when(url.rlike(_ONWARD), F.url_decode(F.regexp_extract(url, _ONWARD, 1)))
+    onward = F.when(url.rlike(_ONWARD), F.try_url_decode(F.regexp_extract(url, _ONWARD, 1)))
     return pages.select(
         url.alias("source"), F.explode(F.array_compact(F.array(canonical, refresh, onward))).alias("target")
     )
