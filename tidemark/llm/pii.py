@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import free, written
 
 # The base patterns. Possessive quantifiers and the look-behind change no match;
 # they keep long runs from being tried at each of their characters.
@@ -39,23 +39,57 @@ def located(text: Column, pattern: str) -> Column:
         F.split(text, pattern, -1),
         lambda value, gap: F.struct(value.alias("value"), F.length(gap).alias("gap")),
     )
+    return _placed(F.filter(pairs, lambda x: x["value"].isNotNull()))
+
+
+def _placed(pairs: Column) -> Column:
+    """(value, start, end) of values and the gaps before each.
+
+    Appending to an array copies it, so the list is cut into about as many parts as each part has
+    values: first the parts' beginnings are added up, then the places within each.
+    """
     kind = "array<struct<value:string,start:int,end:int>>"
-    return F.aggregate(
-        F.filter(pairs, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.array_append(
-                a["out"],
-                F.struct(
-                    x["value"].alias("value"),
-                    (a["at"] + x["gap"]).alias("start"),
-                    (a["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                ),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    size = lambda x: x["gap"] + F.length(x["value"])
+
+    def walk(part: Column, begin: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(begin.alias("at"), F.array().cast(kind).alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + size(x)).alias("at"),
+                F.array_append(
+                    a["out"],
+                    F.struct(
+                        x["value"].alias("value"),
+                        (a["at"] + x["gap"]).alias("start"),
+                        (a["at"] + size(x)).alias("end"),
+                    ),
+                ).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    def whole(x: Column) -> Column:
+        n = F.size(x)
+        step = F.ceil(F.sqrt(n)).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), n, step), lambda i: F.slice(x, i, step))
+        return F.get(F.transform(F.array(parts), joined), F.lit(0))
+
+    def joined(parts: Column) -> Column:
+        begins = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, part: F.struct(
+                F.aggregate(part, a["at"], lambda s, x: s + size(x)).alias("at"),
+                F.array_append(a["out"], a["at"]).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+        return F.flatten(F.zip_with(parts, begins, walk))
+
+    # an array of one value names it, so that it is worked out once
+    once = F.transform(F.array(pairs), lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(F.array().cast(kind)))
+    return F.get(once, F.lit(0))
 
 
 def _luhn(digits: Column) -> Column:
@@ -186,6 +220,8 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "pii"]
     own = [F.col(f"`{c}`") for c in columns]
+    own_id, own_hash, shares_ = free(docs, "_own_id", "_own_hash", "_shares")
+    kept = dict(zip(KINDS, free(docs, *[f"_{k}" for k in KINDS]), strict=True))
     keys = ["_id", "_hash"]
     raw = F.col(f"`{text}`")
     ids = [F.col("doc_id").alias("_id"), F.xxhash64(raw).alias("_hash")]
@@ -226,28 +262,26 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
         .groupBy("_hash", "term")
         .agg(F.max("share").alias("share"))
         .groupBy("_hash")
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_shares"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(shares_))
     )
     per = (
         bearing.select(*keys)
         .distinct()
         .join(of_text, "_hash")
-        .withColumnsRenamed({k: f"{k}2" for k in keys})
+        .select(F.col("_id").alias(own_id), F.col("_hash").alias(own_hash), shares_)
     )
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"{k}2"))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    base = docs.select(*own, *ids, *[s.alias(f"_{k}") for k, s in spans.items()])
+    base = docs.select(*own, *[s.alias(kept[k]) for k, s in spans.items()])
+    match = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(raw) == F.col(own_hash))
     inside = lambda t: F.exists(
-        F.concat(*[F.col(f"_{k}") for k in KINDS]),
+        F.concat(*[F.col(kept[k]) for k in KINDS]),
         lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]),
     )
-    places_of = F.when(F.col("_shares").isNotNull(), marked(raw, F.col("_shares"))).otherwise(none)
+    places_of = F.when(F.col(shares_).isNotNull(), marked(raw, F.col(shares_))).otherwise(none)
     return base.join(per, match, "left").select(
         *own,
         F.struct(
-            *[F.col(f"_{k}").alias(k) for k in KINDS],
+            *[F.col(kept[k]).alias(k) for k in KINDS],
             # the values themselves are spans already
             F.filter(places_of, lambda t: ~inside(t)).alias("term"),
         ).alias("pii"),
