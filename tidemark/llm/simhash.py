@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.shared import ascii_lower, map_arrow, shuffle_partitions, spaced_words, written
+from tidemark.llm.shared import (
+    ascii_lower,
+    free,
+    map_arrow,
+    shuffle_partitions,
+    spaced_words,
+    written,
+)
 
 SHINGLE = 3
 DISTANCE = 3
@@ -238,15 +245,25 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, with its own columns.
+    """One document of each group of near duplicates, with its own columns.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id stay, as they
-    can't be told apart.
+    It is the one with the smallest doc_id, of different texts under that id the one with
+    the smallest text hash; a null doc_id comes after all others. Rows that agree in doc_id and
+    text are one document and one of them stays. Different texts under one doc_id are
+    different documents. An empty table gives none.
     """
-    groups = near_duplicates(docs, text)
-    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
+    key, digest, nth, left = free(docs, "_key", "_digest", "_nth", "_left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    with_id = docs.where("doc_id is not null").join(written(keepers, "keepers"), "doc_id")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(f"`{text}`"))
-    kept = with_id.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    hashed = F.xxhash64(F.col(f"`{text}`"))
+    keyed = docs.select(
+        F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), hashed.alias("hash")).alias("doc_id"),
+        F.col(f"`{text}`").alias("text"),
+    )
+    groups = near_duplicates(keyed)
+    keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keepers = written(keepers.select(F.col("doc_id.id").alias(left), F.col("doc_id.hash").alias(digest)).distinct(), "keepers")
+    rows = docs.select(*columns, hashed.alias(key))
+    same = rows["doc_id"].eqNullSafe(keepers[left]) & (rows[key] == keepers[digest])
+    once = Window.partitionBy("doc_id", key).orderBy(F.lit(0))
+    kept = rows.join(keepers, same).withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
+    return kept.select(*columns)
