@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE, written
+from tidemark.llm.shared import SPACE, free, written
 
 #: Most sources whose totals the driver takes; it raises beyond.
 MOST_SOURCES = 1_000_000
@@ -97,8 +97,10 @@ def plan(
     size = _budget(tokens, shares, budget)
     out = []
     for name, t, w in zip(names, tokens, shares, strict=True):
-        # rounding must not take a token from a source that is to be read once as a whole
-        own = math.floor(size * w + 1e-6)
+        own = math.floor(size * w)
+        if budget is None:
+            # every source is read at least once as a whole: no rounding may take a token of it
+            own = max(own, t)
         out.append(Share(name, t, w, own, own // t, own % t))
     return out + [Share(s, 0, 0.0, 0, 1, 0) for s in totals if totals[s] == 0]
 
@@ -214,21 +216,26 @@ def draw(
 
 
 def mix(docs: DataFrame, text: str = "text", **targets) -> DataFrame:
-    """`docs` as drawn: each row once for each reading, with its own columns and no others."""
+    """`docs` as drawn: each row once for each reading, with its own columns and no others.
+
+    Rows that share doc_id, text and source are read together; null ids, texts and sources are
+    values like any other. An empty table gives none.
+    """
     columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    own, key, digest, group, n, copy = free(docs, "_h", "_id", "_hash", "_source", "_times", "_copy")
     drawn = draw(docs, text, **targets).select(
-        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("source").alias("_source"), "epoch"
+        F.col("doc_id").alias(key), F.col("hash").alias(digest), F.col("source").alias(group), "epoch"
     )
     # one row for each document, so that texts are joined once and copied afterwards
-    times = drawn.groupBy("_id", "_hash", "_source").agg(F.count("*").cast("int").alias("_times"))
-    d = docs.withColumn("_h", F.xxhash64(f"`{text}`")).alias("d")
+    times = drawn.groupBy(key, digest, group).agg(F.count("*").cast("int").alias(n))
+    d = docs.withColumn(own, F.xxhash64(f"`{text}`")).alias("d")
     same = (
-        F.col("d.doc_id").eqNullSafe(F.col("_id"))
-        & (F.col("_h") == F.col("_hash"))
-        & F.col("d.source").cast("string").eqNullSafe(F.col("_source"))
+        F.col("d.doc_id").eqNullSafe(F.col(key))
+        & (F.col(own) == F.col(digest))
+        & F.col("d.source").cast("string").eqNullSafe(F.col(group))
     )
     return (
         d.join(written(times, "mix-times"), same)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(n))))
         .select(*columns)
     )
