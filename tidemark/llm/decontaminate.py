@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import map_arrow
+from tidemark.llm.shared import free, map_arrow
 
 WINDOW = 13
 #: Normalised benchmark text held by one automaton; more items are scanned in further passes.
@@ -167,8 +167,9 @@ def scan(
     items = [(r["item_id"], r["text"]) for r in named.toLocalIterator()]
     blocks = _blocks(sorted(items, key=lambda r: (r[0] is not None, r[0] or "", r[1] or "")))
     columns = [c for c in (docs.columns if keep is None else keep) if c != "hits"]
-    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("_scanned"))
-    schema = T.StructType([source.schema[c] for c in columns] + [T.StructField("_scan", _SCAN)])
+    scan_, scanned_ = free(docs, "_scan", "_scanned")
+    source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias(scanned_))
+    schema = T.StructType([source.schema[c] for c in columns] + [T.StructField(scan_, _SCAN)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,26 +193,29 @@ def scan(
                     }
                 )
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(rows, type=_ARROW)], names=[*columns, "_scan"]
+                [*batch.columns[:-1], pa.array(rows, type=_ARROW)], names=[*columns, scan_]
             )
 
-    n_hit = F.aggregate("_scan.runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
-    scanned = map_arrow(source, run, schema).withColumn("_n_hit", n_hit)
-    many = 20 * F.col("_n_hit") >= F.col("_scan.n_words")
-    return scanned.select(
+    found = F.col(scan_)
+    n_hit = F.aggregate(found["runs"], F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
+    many = 20 * n_hit >= found["n_words"]
+    return map_arrow(source, run, schema).select(
         *[F.col(f"`{c}`") for c in columns],
         F.struct(
-            F.col("_scan.n_words").alias("n_words"),
-            F.col("_n_hit").alias("n_hit"),
-            F.col("_scan.runs").alias("runs"),
-            F.col("_scan.spans").alias("spans"),
-            F.col("_scan.items").alias("items"),
-            ((F.col("_n_hit") > 0) & many).alias("contaminated"),
+            found["n_words"].alias("n_words"),
+            n_hit.alias("n_hit"),
+            found["runs"].alias("runs"),
+            found["spans"].alias("spans"),
+            found["items"].alias("items"),
+            ((n_hit > 0) & many).alias("contaminated"),
         ).alias("hits"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns only."""
+    """The documents that aren't contaminated, with their own columns only.
+
+    Null and wordless texts stay, repeated rows stay or go together, an empty table gives none.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return scan(docs, benchmark).where(~F.col("hits.contaminated")).select(*columns)
