@@ -37,6 +37,7 @@ from catalog.modeling import (
 from tidemark.config import GROUPED_FEATURES
 from tidemark.operators import drift as D
 from tidemark.operators import monitor as M
+from tidemark.operators import profile as R
 from tidemark.operators.features import build_features
 from tidemark.plans.train import train
 from tidemark.session import checkpoint
@@ -133,6 +134,21 @@ def drift_psi(spark, sf):
     return feature_drift(spark, sf).select("entity", rd("psi").alias("psi"), "psi_interpretation")
 
 
+@query(
+    "drift_profile",
+    with_ctes(
+        CTES_DRIFT,
+        f"""SELECT entity, reference_n, current_n, {sql_rd('psi')} AS psi, label AS psi_interpretation FROM dr""",
+    ),
+)
+def drift_profile(spark, sf):
+    """Drift from a stored profile: the reference rows are not read again."""
+    ref, cur = halves(checkpoint(rounded(build_features(panel(spark, sf), P), FEATURE_SPEC)))
+    profile = checkpoint(R.reference_profile(ref, GROUPED_FEATURES))
+    out = R.drift_from_profile(profile, cur)
+    return out.select("entity", "reference_n", "current_n", rd("psi").alias("psi"), "psi_interpretation")
+
+
 @query(
     "drift_js",
     with_ctes(CTES_DRIFT, f"SELECT entity, {sql_rd('js')} AS jensen_shannon_distance FROM dr"),

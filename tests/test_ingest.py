@@ -180,3 +180,25 @@ def test_a_broken_overwrite_loses_no_history(spark, tmp_path, make_panel, crash)
     assert S.read_bars(spark, path).count() == 2
     assert not list(tmp_path.glob("history.previous-*"))
     assert S.read_bars(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_high_water_marks_and_few_symbols_reach_the_scan(spark, tmp_path, capsys):
+    path = str(tmp_path / "bars")
+    rows = [r for s in "ABC" for r in bar_rows(s, [1.0 + i for i in range(30)])]
+    spark.createDataFrame(rows, BARS).write.parquet(path)
+    source = spark.read.parquet(path)
+    plan = lambda rows: spark.createDataFrame(rows, "symbol string, start string, period string")
+
+    def scanned(plans):
+        pruned = I.prune_source(source, plans)
+        pruned.explain("formatted")
+        kept = I.planned_rows(pruned, plans)
+        assert kept.exceptAll(I.planned_rows(source, plans)).isEmpty() and kept.count() == I.planned_rows(source, plans).count()
+        return next(x for x in capsys.readouterr().out.splitlines() if "PushedFilters" in x)
+
+    both = scanned(plan([("A", "2023-01-20", None), ("B", "2023-01-25", None)]))
+    assert "GreaterThanOrEqual(date,2023-01-20)" in both and "In(symbol, [A,B])" in both
+    # a symbol without a start asks for everything
+    open_start = scanned(plan([("A", "2023-01-20", None), ("C", None, "max")]))
+    assert "date" not in open_start and "In(symbol, [A,C])" in open_start
+    assert I.planned_rows(I.prune_source(source, plan([])), plan([])).count() == 0

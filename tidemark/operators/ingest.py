@@ -94,6 +94,29 @@ def period_start(period: str, newest: dt.date) -> dt.date | None:
     return dt.date(year, month, min(newest.day, last))
 
 
+#: Up to so many plans their symbols reach the scan as a list; more are left to the join.
+LISTED = 1_000
+
+
+def prune_source(source: DataFrame, plans: DataFrame) -> DataFrame:
+    """`source` without rows that no plan asks for, by literals that reach the scan.
+
+    One row about the plans is looked up: the smallest start, if every plan has one, bounds
+    the dates, and the symbols of a short list bound the symbols. What is left still goes
+    through `planned_rows`; this only spares reading and shuffling.
+    """
+    start = F.to_date("start")
+    seen = plans.agg(
+        F.count("*").alias("n"), F.count(start).alias("dated"), F.min(start).alias("first")
+    ).first()
+    if seen.n and seen.n == seen.dated:
+        source = source.where(F.col("date") >= F.lit(seen.first))
+    if seen.n <= LISTED:
+        symbols = sorted(r.symbol for r in plans.select("symbol").distinct().collect() if r.symbol is not None)
+        source = source.where(F.col("symbol").isin(symbols))
+    return source
+
+
 def planned_rows(bars: DataFrame, plans: DataFrame) -> DataFrame:
     """Bars that the plans ask for: from `start` on, or all of them for period 'max'."""
     wanted = plans.select("symbol", F.to_date("start").alias("_start"))

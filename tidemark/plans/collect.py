@@ -12,6 +12,7 @@ from tidemark.operators.ingest import (
     collection_plan,
     collection_summary,
     planned_rows,
+    prune_source,
     symbol_status,
     upsert_history,
     upsert_metadata,
@@ -46,7 +47,7 @@ def collect(
     rows and are recorded with the stage's status.
     """
     plans = collection_plan(tickers, metadata)
-    bars = planned_rows(source, plans)
+    bars = planned_rows(prune_source(source, plans), plans)
     status = checkpoint(symbol_status(plans, bars, run_date, rules))
     active = status.where("status = 'active'").select("symbol")
     accepted = densify(bars.join(active, "symbol", "left_semi"))
