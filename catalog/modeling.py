@@ -575,6 +575,17 @@ def boosted_stumps(spark, sf):
     )
 
 
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    """Growth of the test loss without each column, for the model of `boosted_stumps`."""
+    labelled = returns(spark, sf).where("y_log_returns is not null")
+    rows = L.with_holdout_split(checkpoint(labelled), fractions=FRACTIONS)
+    model = BoostedQuantiles(STUMPS).fit(rows.where("split = 'train'"), list(STUMP_COLUMNS), "y_log_returns")
+    test = rows.where("split = 'test'")
+    out = model.permutation_importance(test, "y_log_returns", ["symbol", "date"])
+    return out.select("feature", rd("importance", 8).alias("importance"), rd("share").alias("share"))
+
+
 #: Fewer and larger steps than the default thousand, for a panel of this size.
 BOOST = BoostParams(rounds=12, learning_rate=0.4, depth=3, borders=32, patience=3)
 
