@@ -587,7 +587,7 @@ def permutation_importance(spark, sf):
 
 
 #: Fewer and larger steps than the default thousand, for a panel of this size.
-BOOST = BoostParams(rounds=12, learning_rate=0.4, depth=3, borders=32, patience=3)
+BOOST = BoostParams(rounds=6, learning_rate=0.6, depth=3, borders=32, patience=3)
 
 
 @query("boosted_quantiles")
