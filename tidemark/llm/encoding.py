@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text encoded at once.
-ENCODED_BYTES = 8 << 20
-#: Pieces that a worker keeps, and their longest size: at most 60 MB. A full cache starts anew.
-CACHED, CACHED_BYTES = 250_000, 48
+ENCODED_BYTES = 4 << 20
+#: Pieces that a worker keeps, and their longest size: at most 30 MB. A full cache starts anew.
+CACHED, CACHED_BYTES = 120_000, 48
 # The splitting for which pieces may be encoded apart.
 NORMALIZERS = [
     {"type": "NFC"},
@@ -121,7 +121,8 @@ class WordEncoder:
         """Ids of each distinct piece; short ones that stand there `often` are kept for later texts."""
         found = [self.pieces.get(p) for p in distinct]
         missing = [i for i, x in enumerate(found) if x is None]
-        if len(self.pieces) + len(missing) > CACHED:
+        kept = [i for i in missing if often[i] and len(distinct[i]) <= CACHED_BYTES]
+        if len(self.pieces) + len(kept) > CACHED:
             self.pieces = {}
         letters = [i for i in missing if distinct[i].isalpha()]
         others = [i for i in missing if not distinct[i].isalpha()]
@@ -151,7 +152,9 @@ class WordEncoder:
         begins[1:] &= ~held[:-1]
         edges = bounds[:-1][bounds[:-1] < bounds[1:]]
         begins[edges] |= held[edges]
-        before = np.concatenate([[0], np.cumsum(held, dtype=np.int64)])
+        upto = np.cumsum(held, dtype=np.int32)
+        before = np.where(bounds > 0, upto[np.maximum(bounds, 1) - 1] if len(upto) else 0, 0)
+        del upto
         kinds, begins = kinds[held], begins[held]
         starts = begins.copy()
         starts[1:] |= kinds[1:] != kinds[:-1]
@@ -187,7 +190,7 @@ class WordEncoder:
         )
         flat = lists.take(pa.array(codes)).flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])
-        return flat, ends[np.searchsorted(cut, before[bounds])]
+        return flat, ends[np.searchsorted(cut, before)]
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
