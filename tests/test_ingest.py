@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tidemark.operators import timeline as T
 from tidemark.plans.collect import run_collection
 from tidemark.schema import BARS, METADATA
 from tidemark.sources import tables as S
-from tidemark.sources.bars import make_bars
+from tidemark.sources.bars import make_bars, packed_order
 
 D = dt.date
 
@@ -167,6 +168,41 @@ def test_bars_open_and_close_follow_the_total_order(spark):
         make_bars(t, **args, interval="7m")
 
 
+@pytest.mark.parametrize("zoned", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("interval", ["5m", "1h", "5d", "1d", "1wk", "1mo", "3mo"])
+def test_packed_order_gives_the_bars_of_the_struct(spark, monkeypatch, zoned, interval):
+    rng = np.random.default_rng(7)
+    base = dt.datetime(2023, 2, 27, 22)
+    at = [base + dt.timedelta(microseconds=int(x)) for x in rng.integers(0, 40 * 86_400, 40) * 1_000_000]
+    ids = [-(2**63), 2**63 - 1, 0, -1, None]
+    rows = []
+    for i in range(600):
+        j = int(rng.integers(0, 40))
+        late = dt.timedelta(microseconds=int(rng.integers(0, 3)))
+        # ids differ within an instant unless a short tells them apart; None is the least of both
+        rows.append((None if i % 97 == 0 else f"S{i % 3}", None if i % 89 == 0 else at[j] + late,
+                     ids[i % 5] if i % 2 else i, None if i == 5 else i % 30_000 - 15_000, float(i)))
+    t = spark.createDataFrame(rows, f"s string, ts {zoned}, id long, leg short, p double")
+    args = dict(symbol="s", ts="ts", price="p", quantity=F.lit(1), tie_break=["id", "leg"], interval=interval)
+    packed = make_bars(t, **args)
+    plan = packed._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    with monkeypatch.context() as m:
+        m.setattr("tidemark.sources.bars.packed_order", lambda *x: None)
+        struct = make_bars(t, **args)
+    assert "SortAggregate" in struct._jdf.queryExecution().sparkPlan().toString()
+    got, want = packed.collect(), struct.collect()
+    assert len(got) == len(want) and sorted(map(repr, got)) == sorted(map(repr, want))
+    assert packed.where(F.lit(False)).count() == 0
+
+
+def test_orders_that_do_not_fit_a_number_stay_structs(spark):
+    t = spark.createDataFrame([], "ts timestamp, a long, b long, c string, d int, e date")
+    fits = lambda *ties, ts="ts": packed_order(t.schema, ts, list(ties), "1d") is not None
+    assert fits("a") and fits("d") and fits("d", "d")
+    assert not fits("a", "b") and not fits("c") and not fits("a", ts="e") and not fits("missing")
+
+
 @pytest.mark.parametrize("crash", ["while writing", "between the renames"])
 def test_a_broken_overwrite_loses_no_history(spark, tmp_path, make_panel, crash):
     path = str(tmp_path / "history")
