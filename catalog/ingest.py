@@ -520,25 +520,14 @@ bars AS MATERIALIZED (SELECT b.* FROM mbars b JOIN once u ON u.symbol = b.symbol
             SQL_DENSE.replace("dense AS (", "dense AS MATERIALIZED ("),
             sql_quality("dense"),
         ],
-        f"""SELECT d.symbol, count(*) AS n_rows, count(close) AS n_bars, CAST(min(d.date) AS VARCHAR) AS first_date,
-  CAST(max(d.date) AS VARCHAR) AS last_date, CAST(sum(volume) AS DOUBLE) AS volume,
-  {sql_rd("sum(open)", 3)} AS open, {sql_rd("sum(high)", 3)} AS high, {sql_rd("sum(low)", 3)} AS low,
-  {sql_rd("sum(close)", 3)} AS close
-FROM dense d JOIN qual q ON q.symbol = d.symbol WHERE n_pos + n_hl + n_vol + n_rel + n_ext = 0
-GROUP BY d.symbol""",
+        f"""SELECT d.symbol, CAST(d.date AS VARCHAR) AS date, {SQL_OHLC}, CAST(d.volume AS DOUBLE) AS volume
+FROM dense d JOIN qual q ON q.symbol = d.symbol WHERE n_pos + n_hl + n_vol + n_rel + n_ext = 0""",
     ),
 )
 def quality_gate(spark, sf):
-    """All rows that pass the gate, as one row of counts, ends and sums for each symbol."""
-    kept = Q.quality_gate(T.densify(mixed_bars(spark, sf)))
-    return kept.groupBy("symbol").agg(
-        F.count("*").alias("n_rows"),
-        F.count("close").alias("n_bars"),
-        F.min("date").cast("string").alias("first_date"),
-        F.max("date").cast("string").alias("last_date"),
-        F.sum("volume").cast("double").alias("volume"),
-        *[rd(F.sum(c), 3).alias(c) for c in ("open", "high", "low", "close")],
-    )
+    """All rows that pass the gate, whole."""
+    kept = bar_columns(Q.quality_gate(T.densify(mixed_bars(spark, sf))))
+    return kept.withColumn("volume", F.col("volume").cast("double"))
 
 
 @query(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import ingest
 from conftest import bar_rows
 from tidemark.config import QualityRules
 from tidemark.operators import ingest as I
@@ -78,6 +79,16 @@ def test_quality_extreme_move_and_all_null_column(spark):
     assert keep.count() == 3
 
 
+def test_quality_gate_query_returns_whole_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    kept = Q.quality_gate(T.densify(ingest.mixed_bars(spark, sf)))
+    got = ingest.quality_gate(spark, sf)
+    assert got.columns == ["symbol", "date", "open", "high", "low", "close", "volume"]
+    key = lambda r: (r.symbol, str(r.date))
+    assert sorted(map(key, got.collect())) == sorted(map(key, kept.collect()))
+    assert got.count() > got.select("symbol").distinct().count() > 0
+
+
 def test_plans(spark):
     tickers = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
     meta = spark.createDataFrame(
