@@ -24,6 +24,7 @@ from tidemark.config import QualityRules
 from tidemark.operators import ingest as I
 from tidemark.operators import quality as Q
 from tidemark.operators import timeline as T
+from tidemark.session import stored
 from tidemark.sources.bars import make_bars
 from tidemark.sources.tables import enforce_schema
 
@@ -340,7 +341,7 @@ def history_upsert(spark, sf):
 
 def mixed_bars(spark, sf):
     """Bars with every kind of defect: rich suppliers have several rows per day,
-    poor ones a unit price that jumps more than tenfold."""
+    poor ones a unit price that jumps more than tenfold. Stored, as the queries read them several times."""
     sup = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
     li = table(spark, sf, "lineitem")
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
@@ -354,7 +355,7 @@ def mixed_bars(spark, sf):
         F.struct("l_shipdate", *[c for c in _TIES]).alias("ord"),
         "l_quantity",
     )
-    return (
+    mixed = (
         t.groupBy("symbol", "date", "part")
         .agg(
             F.min_by("price", "ord").alias("open"),
@@ -365,6 +366,7 @@ def mixed_bars(spark, sf):
         )
         .drop("part")
     )
+    return stored(mixed, "mixed-bars")
 
 
 _TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_suppkey"]

@@ -10,7 +10,7 @@ from tidemark.config import QualityRules
 from tidemark.operators import ingest as I
 from tidemark.operators import quality as Q
 from tidemark.operators import timeline as T
-from tidemark.plans.collect import run_collection
+from tidemark.plans.collect import collect, run_collection
 from tidemark.schema import BARS, METADATA
 from tidemark.sources import tables as S
 from tidemark.sources.bars import make_bars, packed_order
@@ -89,6 +89,24 @@ def test_quality_gate_query_returns_whole_rows(spark):
     assert got.count() > got.select("symbol").distinct().count() > 0
 
 
+def test_summary_counts_the_merged_history_without_moving_it(spark):
+    tickers = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
+    bars = bar_rows("A", [1.0, 1.1, 1.2, 1.3], D(2023, 1, 5)) + bar_rows("B", [1.0, 2.0]) * 2
+    offered = [r for r in bars if r[0].day != 7]
+    # before, in a gap of, and behind the new days; a repeated row; a symbol without new days, one without a date
+    old = bar_rows("A", [2.0] * 7, D(2023, 1, 3)) + bar_rows("A", [2.5], D(2023, 1, 3)) + bar_rows("C", [3.0, 3.1])
+    old.append((None, "A", 1.0, 1.0, 1.0, 1.0, 1))
+    done = collect(
+        tickers, spark.createDataFrame([], METADATA), spark.createDataFrame(offered, BARS),
+        spark.createDataFrame(old, BARS), D(2023, 2, 1),
+    )
+    got = done.summary.first()
+    assert got.new_records == done.accepted.count() == 4 and got.symbols_updated == 1
+    assert got.total_records == done.history.count() == 10
+    assert "_src" in done.history._jdf.queryExecution().optimizedPlan().toString()
+    assert "_src" not in done.summary.select("total_records")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_plans(spark):
     tickers = spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string")
     meta = spark.createDataFrame(

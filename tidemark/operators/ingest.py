@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import BAR_COLUMNS, INTERVALS, PERIODS, QualityRules
 from tidemark.operators.quality import quality_report
-from tidemark.operators.timeline import densify, timeline_status
+from tidemark.operators.timeline import densify
 from tidemark.sources.tables import enforce_schema
 
 
@@ -149,18 +149,23 @@ def symbol_status(
     a failed quality check: data_quality_issue; otherwise active.
     """
     cast = enforce_schema(bars)
-    bad_cast = cast.groupBy("symbol").agg(F.max("_cast_failed").alias("_cast_failed"))
     usable = cast.drop("_cast_failed")
-    timeline = timeline_status(usable)
-    quality = quality_report(densify(usable), rules).select(
-        "symbol", "is_valid"
-    )
-    newest = usable.groupBy("symbol").agg(F.max("date").alias("_newest"))
+    # one row a day, then one a symbol: all that does not need the order of the days
     facts = (
-        timeline.join(bad_cast, "symbol", "left")
-        .join(quality, "symbol", "left")
-        .join(newest, "symbol", "left")
+        cast.groupBy("symbol", "date")
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_cast_failed").alias("_cast_failed"))
+        .groupBy("symbol")
+        .agg(
+            (F.count_if((F.col("_n") > 1) | F.col("date").isNull()) == 0).alias("timeline_ok"),
+            F.sum("_n").alias("n_rows"),
+            F.max("_cast_failed").alias("_cast_failed"),
+            F.max("date").alias("_newest"),
+        )
     )
+    # symbols with a repeated day go no further, so the days of the others need no second grouping
+    whole = usable.join(facts.where("timeline_ok").select("symbol"), "symbol", "left_semi")
+    quality = quality_report(densify(whole, unique=True), rules).select("symbol", "is_valid")
+    facts = facts.join(quality, "symbol", "left")
     status = (
         F.when(F.col("n_rows").isNull(), "collection_issue")
         .when(~F.col("timeline_ok") | F.col("_cast_failed"), "data_issue")
@@ -214,13 +219,31 @@ def upsert_history(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def collection_summary(status: DataFrame, new: DataFrame, total: DataFrame | int) -> DataFrame:
+def untouched_days(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """(symbol, date), each once, of the rows that `upsert_history` takes from `existing`.
+
+    `new` holds every day between a symbol's first and last bar (see `densify`), so the two ends
+    of a symbol tell which days it replaces and none of its rows has to be moved.
+    """
+    spans = new.groupBy(F.col("symbol").alias("_symbol")).agg(
+        F.count("*").alias("_n"), F.min("date").alias("_first"), F.max("date").alias("_last")
+    )
+    known = existing.select("symbol", "date").join(spans, F.col("symbol").eqNullSafe(F.col("_symbol")), "left")
+    replaced = F.coalesce(F.col("date").between(F.col("_first"), F.col("_last")), F.lit(False))
+    return known.where(~replaced).select("symbol", "date").distinct()
+
+
+def collection_summary(
+    status: DataFrame, new: DataFrame, total: DataFrame | int | None = None, untouched: DataFrame | None = None
+) -> DataFrame:
     """One row: tickers processed, successes, new and total records, symbols updated.
 
     `status` has a row for every planned symbol. Each input is read once and cut down to one row
     a symbol or task before it is moved. `total` is the history, or its number of rows where
-    that is known.
+    that is known; instead of it `untouched` may give the rows of the history beside the new ones.
     """
+    if (total is None) == (untouched is None):
+        raise ValueError("give either the whole history or the rows beside the new ones")
     names = ["tickers_processed", "successful_collections", "new_records", "total_records", "symbols_updated"]
     zero = {n: F.lit(0).cast("long") for n in names}
 
@@ -228,14 +251,16 @@ def collection_summary(status: DataFrame, new: DataFrame, total: DataFrame | int
         return df.select(*[F.coalesce(c.cast("long"), zero[n]).alias(n) for n, c in (zero | values).items()])
 
     per_symbol = new.groupBy("symbol").agg(F.count("*").alias("n"))
+    also = {} if untouched is None else {"total_records": F.col("n")}
     rows = part(
         status,
         tickers_processed=F.lit(1),
         successful_collections=(F.col("status") == "active").cast("int"),
-    ).unionByName(part(per_symbol, new_records=F.col("n"), symbols_updated=F.lit(1)))
+    ).unionByName(part(per_symbol, new_records=F.col("n"), symbols_updated=F.lit(1), **also))
     known = isinstance(total, int)
     if not known:
-        rows = rows.unionByName(part(total.agg(F.count("*").alias("n")), total_records=F.col("n")))
+        counted = (untouched if total is None else total).agg(F.count("*").alias("n"))
+        rows = rows.unionByName(part(counted, total_records=F.col("n")))
     out = rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
     if known:
         out = out.withColumn("total_records", F.lit(total).cast("long"))

@@ -14,6 +14,7 @@ from tidemark.operators.ingest import (
     planned_rows,
     prune_source,
     symbol_status,
+    untouched_days,
     upsert_history,
     upsert_metadata,
 )
@@ -43,14 +44,15 @@ def collect(
 ) -> Collected:
     """One ingestion run over all tickers at once.
 
-    `source` holds the bars on offer. Symbols that fail a stage contribute no
-    rows and are recorded with the stage's status.
+    `source` holds the bars on offer; it is read several times, so it should be a stored table.
+    Symbols that fail a stage contribute no rows and are recorded with the stage's status.
     """
     plans = collection_plan(tickers, metadata)
     bars = planned_rows(prune_source(source, plans), plans)
     status = checkpoint(symbol_status(plans, bars, run_date, rules))
     active = status.where("status = 'active'").select("symbol")
-    accepted = densify(bars.join(active, "symbol", "left_semi"))
+    # no day of an active symbol occurs twice
+    accepted = densify(bars.join(active, "symbol", "left_semi"), unique=True)
     merged = upsert_history(history, accepted)
     return Collected(
         plans,
@@ -58,7 +60,7 @@ def collect(
         accepted,
         merged,
         upsert_metadata(metadata, status),
-        collection_summary(status, accepted, merged),
+        collection_summary(status, accepted, untouched=untouched_days(history, accepted)),
     )
 
 
