@@ -68,6 +68,22 @@ def test_piece_encoding_equals_the_tokenizer():
     assert ids_of(texts) == wanted(texts)
 
 
+def test_plain_letters_need_no_normaliser():
+    words = encoding.WordEncoder(PATH)
+    rng = random.Random(5)
+    letters = sorted(encoding._PLAIN - {"\n"})
+    made = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000)] + ["".join(letters)]
+    made += [w.lower() for w in made]
+    pieces = [w.encode() for w in made if not w.isascii()]
+    assert not any(encoding._odd(pieces)) and all(encoding._stays_letters(p) for p in pieces)
+    marked = ["\u09b9\u09df", "VERG\u0130", "\ufb2a", "e\u0301", "\u2013", "\u00bd"]
+    mixed = [w.encode() for w in marked] + [b"\xff", b"\xc3"] + pieces[:9]
+    assert encoding._odd(mixed) == [not encoding._stays_letters(p) for p in mixed]
+    flat, bounds = words.encode(pa.array([w.encode() for w in made], pa.binary()))
+    whole = [e.ids for e in words.tokenizer.encode_batch_fast(made, add_special_tokens=False)]
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == whole
+
+
 def test_random_texts_are_encoded_as_the_tokenizer_does():
     rng = random.Random(11)
     parts = [*"aBé1²½日。ßİΣς!.,-_~< \n\t\x1c\u3000\xa0\0'", "\u0301", "\u0338", "\u09dc", "'s", "<|endoftext|>", "the", "\u200d"]

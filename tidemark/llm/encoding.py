@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
+from unicodedata import combining, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,23 @@ def _stays_letters(piece: bytes) -> bool:
     return word.isalpha() and normalize("NFC", word).lower().isalpha()
 
 
+def _odd(pieces: list[bytes]) -> list[bool]:
+    """Which pieces beyond ASCII do not stay letters. Most hold plain letters only, which a set tells."""
+    text = b"\n".join(pieces).decode("utf-8", "replace")
+    if all(c in _PLAIN for c in set(text)):
+        return [False] * len(pieces)
+    return [not (_PLAIN.issuperset(w) or _stays_letters(p)) for p, w in zip(pieces, text.split("\n"), strict=True)]
+
+
+#: Letters that no normalisation changes but that of case, and the line end between pieces.
+_PLAIN = frozenset(
+    c for c in map(chr, range(0x530))
+    if c == "\n" or (c.isalpha() and not combining(c) and normalize("NFC", c) == c and c.lower().isalpha())
+)
+#: Those that it leaves as they are.
+_LOWER = frozenset(c for c in _PLAIN if c.lower() == c and c != "\n")
+
+
 class WordEncoder:
     """Ids of many texts as one flat array and the offsets of each.
 
@@ -88,9 +105,14 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             state = json.load(f)
         self.apart = cuts_at_words(state)
-        # lower-case ASCII letters need no normaliser and no pattern
+        # lower-case letters need no normaliser and no pattern, and ASCII ones are their own bytes
         bare = {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(state | bare)) if self.apart else self.tokenizer
+        self.bare = self.plain = self.tokenizer
+        if self.apart:
+            self.bare = Tokenizer.from_str(json.dumps(state | bare))
+            steps = [bare["pre_tokenizer"], *state["pre_tokenizer"]["pretokenizers"][1:]]
+            split = {"pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}
+            self.plain = Tokenizer.from_str(json.dumps(state | bare | split))
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -124,11 +146,22 @@ class WordEncoder:
         kept = [i for i in missing if often[i] and len(distinct[i]) <= CACHED_BYTES]
         if len(self.pieces) + len(kept) > CACHED:
             self.pieces = {}
-        letters = [i for i in missing if distinct[i].isalpha()]
-        others = [i for i in missing if not distinct[i].isalpha()]
+        letters, plain, plain_words, others, other_words = [], [], [], [], []
+        for i in missing:
+            if distinct[i].isalpha():
+                letters.append(i)
+                continue
+            word = distinct[i].decode("utf-8", "replace")
+            if _LOWER.issuperset(word):
+                plain.append(i)
+                plain_words.append(word)
+            else:
+                others.append(i)
+                other_words.append(word)
         for group, words, tokenizer in (
             (letters, [distinct[i].lower().decode() for i in letters], self.bare),
-            (others, [distinct[i].decode("utf-8", "replace") for i in others], self.tokenizer),
+            (plain, plain_words, self.plain),
+            (others, other_words, self.tokenizer),
         ):
             for i, ids in zip(group, self._ids_of(words, tokenizer), strict=True):
                 found[i] = ids
@@ -177,7 +210,9 @@ class WordEncoder:
             return cut, keep, coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
         cut, keep, codes, distinct = pieces()
-        odd = np.array([not (p.isascii() or _stays_letters(p)) for p in distinct], bool)
+        odd = np.zeros(len(distinct), bool)
+        beyond = [i for i, p in enumerate(distinct) if not p.isascii()]
+        odd[beyond] = _odd([distinct[i] for i in beyond])
         if odd.any():
             # a mark may join the piece before or after it: no cuts in these chunks
             whole[chunk[keep][odd[codes]]] = True

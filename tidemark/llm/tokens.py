@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.encoding import encoded
+from tidemark.llm.encoding import bytes_of, encoded
 from tidemark.llm.shared import discard, fresh_path, map_arrow, shuffle_partitions, written
 
 END = 1
@@ -152,7 +152,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
         context = TaskContext.get()
         part, seq = context.partitionId() if context else 0, 0
         doc_ids: list[pa.Array] = []
-        counts: list[int] = []
+        counts: list[np.ndarray] = []
         parts: list[np.ndarray] = []
         held = before = 0
 
@@ -165,24 +165,34 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, text: str = "text")
                     pa.array([before], pa.int64()),
                     pa.array([held], pa.int64()),
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                    pa.array([counts], pa.list_(pa.int64())),
+                    pa.array([np.concatenate(counts)], pa.list_(pa.int64())),
                     pa.array([pack(np.concatenate(parts))], pa.binary()),
                 ],
                 names=["part", "seq", "before", "n_tokens", "doc_ids", "doc_tokens", "codes"],
             )
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                width = batch.column(2)[i].as_py()
-                ids = np.frombuffer(batch.column(3)[i].as_buffer(), f"<u{width}")
-                if held and held + len(ids) > SEGMENT_TOKENS:
+            if not batch.num_rows:
+                continue
+            # one encoder wrote all rows, so they have one width
+            raw, bounds = bytes_of(batch.column(3))
+            width = batch.column(2)[0].as_py()
+            ids, at = raw.view(f"<u{width}"), bounds // width
+            first = 0
+            while first < batch.num_rows:
+                # the documents from `first` on that the segment still has room for
+                end = int(np.searchsorted(at, at[first] + SEGMENT_TOKENS - held, "right")) - 1
+                if end <= first and held:
                     yield segment()
                     seq, before, held = seq + 1, before + held, 0
                     doc_ids, counts, parts = [], [], []
-                doc_ids.append(batch.column(0).slice(i, 1))
-                counts.append(len(ids))
-                parts.append(ids.astype("<u4"))
-                held += len(ids)
+                    continue
+                end = max(end, first + 1)
+                doc_ids.append(batch.column(0).slice(first, end - first))
+                counts.append(np.diff(at[first : end + 1]))
+                parts.append(ids[at[first] : at[end]])
+                held += int(at[end] - at[first])
+                first = end
         if doc_ids:
             yield segment()
 
@@ -219,12 +229,12 @@ def documents(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 start = batch.column(0)[i].as_py()
-                counts = np.array(batch.column(2)[i].as_py(), np.int64)
+                counts = batch.column(2)[i].values.to_numpy()
                 ids = Codes(batch.column(3)[i].as_py()).all().astype("<u4", copy=False)
                 ends = np.cumsum(counts)
-                crc = [
-                    zlib.crc32(ids[e - n : e].tobytes()) for n, e in zip(counts, ends, strict=True)
-                ]
+                data = memoryview(np.ascontiguousarray(ids).view(np.uint8))
+                places = zip((4 * (ends - counts)).tolist(), (4 * ends).tolist(), strict=True)
+                crc = [zlib.crc32(data[a:b]) for a, b in places]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(1)[i].values,
