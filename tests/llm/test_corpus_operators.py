@@ -205,6 +205,21 @@ def test_repeated_strings_match_plain_version(spark, some):
     assert got == list(brute.removed(some[1]))
 
 
+def test_a_round_sorts_its_own_keys_only():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abc ", k=400)).encode() for _ in range(6)]
+    texts += [texts[0][50:250] + texts[1][:90]]
+    chunk = suffixes.Chunk(list(range(7)), [len(t) for t in texts], b"".join(texts))
+    half = 1 << 63
+    for entries_of in (chunk.samples, lambda *a: chunk.suffixes(np.arange(0, 2000, 5), *a)):
+        whole, parts = entries_of(), [entries_of((0, half - 1)), entries_of((half, 2 * half - 1))]
+        assert all(0 < len(p) < len(whole) for p in parts)
+        for name in ("keys", "shared", "places"):
+            joined = np.concatenate([getattr(p, name) for p in parts])
+            order = (lambda a: np.sort(a)) if name == "places" else (lambda a: a)
+            assert (order(joined) == order(getattr(whole, name))).all()
+
+
 def test_repeated_strings_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CHUNK_BYTES", 2000)
     rng = random.Random(2)

@@ -120,8 +120,11 @@ class Chunk:
         steps[(self.starts + self.lengths - size + 1)[long]] -= 1
         return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
 
-    def samples(self) -> Entries:
-        """The cover's suffixes, by the bytes that any two equal strings share from there on."""
+    def samples(self, within: tuple[int, int] | None = None) -> Entries:
+        """The cover's suffixes, by the bytes that any two equal strings share from there on.
+
+        With `within` only those whose key lies between its two ends, both included.
+        """
         size = SIZE - PERIOD + 1
         on = np.zeros(PERIOD, bool)
         on[list(COVER)] = True
@@ -132,18 +135,25 @@ class Chunk:
             room[start : start + length] &= pattern[:length]
         places = np.flatnonzero(room)
         keys = window_hashes(self.text, size)[places] if len(places) else np.zeros(0, np.uint64)
+        if within is not None:
+            own = _between(keys, within)
+            places, keys = places[own], keys[own]
         return Entries(places, keys, None, self.ids[self.doc[places]])
 
-    def suffixes(self, repeated: np.ndarray) -> Entries:
-        """The suffixes with a repeated sample in reach, by their first SIZE bytes."""
+    def suffixes(self, repeated: np.ndarray, within: tuple[int, int] | None = None) -> Entries:
+        """The suffixes with a repeated sample in reach, by their first SIZE bytes; `within` as for samples."""
         # the places in reach of each sample that those of the one before don't hold already
         before = np.concatenate([[-1], repeated[:-1]]) if len(repeated) else repeated
         low = np.maximum(repeated - (PERIOD - 1), before + 1)
         places = _ranges(low, repeated + 1)
         places = places[self._room(SIZE)[places]]
         text, at = self._around(places)
-        keys = [window_hashes(text, SIZE, which)[at] for which in (0, 1)]
-        return Entries(places, keys[0], keys[1] >> np.uint64(24), self.ids[self.doc[places]])
+        keys = window_hashes(text, SIZE, 0)[at]
+        if within is not None:
+            own = _between(keys, within)
+            places, keys, at = places[own], keys[own], at[own]
+        second = window_hashes(text, SIZE, 1)[at] >> np.uint64(24)
+        return Entries(places, keys, second, self.ids[self.doc[places]])
 
     def _around(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The SIZE bytes from each of `places` (ascending), shared ones once, and where each begins."""
@@ -172,6 +182,10 @@ class Chunk:
         return out
 
 
+def _between(keys: np.ndarray, ends: tuple[int, int]) -> np.ndarray:
+    return np.flatnonzero((keys >= np.uint64(ends[0])) & (keys <= np.uint64(ends[1])))
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [begin, end), one after the other."""
     sizes = end - begin
@@ -272,13 +286,15 @@ def _dealt_entries(
     """(bucket, chunk, keys, second, shared): a chunk's entries of one round's buckets."""
     count = 1 << bits
     first, last = turn * count // rounds, (turn + 1) * count // rounds
+    # only the round's own keys are sorted
+    within = first << (64 - bits), (last << (64 - bits)) - 1
     columns = chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(columns)}
-                entries = entries_of(row)
+                entries = entries_of(row, within)
                 edges, out = entries.buckets(bits), []
                 for b in range(first, last):
                     own = slice(edges[b], edges[b + 1])
@@ -504,7 +520,7 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
 
     # ranks of the cover's suffixes
     bits = _bits_for(total * len(COVER) / PERIOD, SAMPLE_ROUNDS)
-    ranks = _rounds(chunks, lambda row: _chunk(row).samples(), bits, SAMPLE_ROUNDS, True)
+    ranks = _rounds(chunks, lambda row, within: _chunk(row).samples(within), bits, SAMPLE_ROUNDS, True)
 
     def mark(row: dict, answers: dict[int, bytes]) -> pa.RecordBatch:
         samples = _chunk(row).samples()
@@ -536,7 +552,7 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
 
     # the suffixes with a repeated sample, one range of buckets after the other
     finer = _bits_for(total, SUFFIX_ROUNDS)
-    entries_of = lambda row: _chunk(row).suffixes(_repeated(row))
+    entries_of = lambda row, within: _chunk(row).suffixes(_repeated(row), within)
     earlier = _rounds(
         marked.select("chunk", "ids", "lengths", "text", "repeated"),
         entries_of,
