@@ -237,6 +237,49 @@ def test_repeated_strings_across_chunks(spark, monkeypatch):
     assert got == list(brute.removed(docs))
 
 
+def test_buckets_follow_the_suffixes_to_sort(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_ENTRIES", 1 << 10)
+    called = []
+
+    def rounds(chunks, entries_of, bits, count, samples, plain=suffixes._rounds):
+        called.append((bits, count))
+        return plain(chunks, entries_of, bits, count, samples)
+
+    monkeypatch.setattr(suffixes, "_rounds", rounds)
+    rng = random.Random(5)
+    docs = [(i, "".join(rng.choices("abcdefgh ", k=4000))) for i in range(50)]
+    docs.append((50, "!" + docs[7][1][:100]))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in suffixes.dedup(frame).collect() if r.n_removed}
+    assert got == {50: 100}
+    # few of 200,000 suffixes have a repeated sample, so no more than the fewest buckets hold them
+    assert called[1][0] == 8
+    # times that the chunks are read for their entries
+    assert sum(count for _, count in called) <= 3
+
+
+def test_entries_that_leading_bits_leave_open_are_ordered():
+    rng = np.random.default_rng(4)
+    keys = np.uint64(5 << 61) + rng.integers(0, 40, 3000, dtype=np.uint64)
+    second = rng.integers(0, 3, 3000, dtype=np.uint32)
+    want = sorted(range(3000), key=lambda i: (keys[i], second[i]))
+    order, ordered = suffixes._ordered(keys, second)
+    assert order.tolist() == want and (ordered == keys[want]).all()
+    order, _ = suffixes._ordered(keys, None)
+    assert order.tolist() == sorted(range(3000), key=lambda i: keys[i])
+    _, first = np.unique(np.stack([keys, second.astype(np.uint64)]), axis=1, return_index=True)
+    assert sorted(suffixes._repeats(keys, second).tolist()) == sorted(set(range(3000)) - set(first.tolist()))
+
+
+def test_runs_end_with_their_document():
+    texts = [b"x" * 60, b"", b"y" * 49, b"z" * 130, b"x" * 60]
+    chunk = suffixes.Chunk(list(range(5)), [len(t) for t in texts], b"".join(texts))
+    got = chunk.results(np.array([249, 10, 109, 159, 160, 189, 239, 10]))
+    assert got["spans"].to_pylist() == [[[10, 60]], [], [], [[0, 130]], [[0, 60]]]
+    assert got["n_removed"].to_pylist() == [50, 0, 0, 130, 60]
+    assert got["kept"].to_pylist() == [b"x" * 10, b"", b"y" * 49, b"", b""]
+
+
 def test_repeated_strings_on_edges(edges, no_docs):
     got = suffixes.dedup(edges, with_text=True)
     assert got.count() == len(EDGES)

@@ -20,14 +20,13 @@ one entry of each chunk that holds it and no bucket is larger than another.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import discard, map_arrow, shuffle_partitions, written
@@ -37,66 +36,87 @@ SIZE = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of text in a chunk, and most documents in it.
 CHUNK_BYTES, CHUNK_DOCS = 3 << 20, 50_000
-#: Entries of a bucket, about; the number of buckets follows from it.
+#: Entries of a bucket, at most about; the number of buckets follows from it.
 BUCKET_ENTRIES = 1 << 21
 #: Ranges of buckets that are sorted one after the other, for samples and for suffixes.
-SAMPLE_ROUNDS, SUFFIX_ROUNDS = 2, 4
+SAMPLE_ROUNDS, SUFFIX_ROUNDS = 1, 2
+#: Places that are hashed at a time, so that what this takes stays in the CPU's cache.
+BLOCK = 1 << 14
 _LAST = (1 << 63) - 1
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 # --- strings as numbers ----------------------------------------------------------------
 
 
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+def window_hashes(text: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes from each place on."""
+    return _hashes_at(text, size, np.arange(max(len(text) - size + 1, 0)), (which,))[0]
+
 
+def _hashes_at(
+    text: np.ndarray, size: int, places: np.ndarray, which: tuple[int, ...]
+) -> list[np.ndarray]:
+    """For each of `which` a 64-bit hash of the `size` bytes from each of `places` (ascending) on.
 
-_TABLES = (_table(11), _table(12))
-_BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
+    The bytes are taken eight at a time; the last eight may overlap those before.
+    """
+    out = [np.full(len(places), _SEEDS[k]) for k in which]
+    if not len(places):
+        return out
+    raw = text.tobytes() + bytes(8) if size < 8 else text
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    offsets = [*range(0, size - 7, 8)] or [0]
+    if size > 8 and size % 8:
+        offsets.append(size - 8)
+    for start in range(0, len(places), BLOCK):
+        own, near = places[start : start + BLOCK], words
+        if own[-1] - own[0] < 16 * len(own):
+            near, own = words[own[0] : own[-1] + offsets[-1] + 1].copy(), own - own[0]
+        for offset in offsets:
+            word = near[offset:][own]
+            if size < 8:
+                word &= np.uint64((1 << 8 * size) - 1)
+            for k, hashes in zip(which, out, strict=True):
+                part = hashes[start : start + BLOCK]
+                part ^= word
+                part *= _MULTIPLIERS[k]
+                part ^= part >> np.uint64(32)
+    return out
 
 
-def window_hashes(text: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the `size` bytes from each place on.
+def _ordered(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of `keys`, then of `second`, then of the places; and the keys in that order.
 
-    Built by doubling: two neighbouring windows make one of twice the length.
+    The keys' leading bits are sorted with the places behind them in one number. They hardly
+    ever leave anything open; if they do, all is sorted.
     """
-    n, power = len(text), _BASES[which]
-    current, length = _TABLES[which][text], 1
-    out, have = None, 0
-    with np.errstate(over="ignore"):
-        left = size
-        while left:
-            if left & 1:
-                if out is None:
-                    out, have = current, length
-                else:
-                    k = max(n - have - length + 1, 0)
-                    out, have = out[:k] * power + current[have : have + k], have + length
-            left >>= 1
-            if left:
-                k = max(n - 2 * length + 1, 0)
-                current = current[:k] * power + current[length : length + k]
-                power, length = power * power, 2 * length
-        out = out ^ (out >> np.uint64(32))
-        out = out * _MULTIPLIER
-        return out ^ (out >> np.uint64(29))
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending numbers as steps of as few bytes as the largest one takes."""
-    steps = np.diff(values, prepend=np.zeros(1, np.uint64))
-    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
-    raw = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + raw.tobytes()
-
-
-def unpack_sorted(packed: bytes) -> np.ndarray:
-    width = packed[0]
-    raw = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, :width] = raw
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
+    width = np.uint64(len(keys).bit_length())
+    packed = keys >> width
+    packed <<= width
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= (np.uint64(1) << width) - np.uint64(1)
+    order = packed.view(np.int64)
+    ordered = keys[order]
+    wrong = (ordered[1:] < ordered[:-1]).any()
+    if second is not None and not wrong:
+        tie = np.flatnonzero(ordered[1:] == ordered[:-1])
+        wrong = (second[order[tie]] != second[order[tie + 1]]).any()
+    if wrong:
+        order = np.argsort(keys, kind="stable") if second is None else np.lexsort((second, keys))
+        ordered = keys[order]
+    return order, ordered
+
+
+def _again(keys: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """Whether each of the ordered keys is the one before it."""
+    again = np.zeros(len(keys), bool)
+    np.equal(keys[1:], keys[:-1], out=again[1:])
+    if second is not None:
+        again[1:] &= second[1:] == second[:-1]
+    return again
 
 
 # --- a chunk ---------------------------------------------------------------------------
@@ -112,13 +132,9 @@ class Chunk:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), self.lengths)
 
-    def _room(self, size: int) -> np.ndarray:
-        """Places from which `size` bytes stay within their document, if that has SIZE bytes."""
-        steps = np.zeros(len(self.text) + 1, np.int8)
-        long = self.lengths >= SIZE
-        steps[self.starts[long]] += 1
-        steps[(self.starts + self.lengths - size + 1)[long]] -= 1
-        return np.cumsum(steps[:-1], dtype=np.int8).view(bool)
+    def _last(self, size: int) -> np.ndarray:
+        """The last place of each document from which `size` bytes stay in it; -1 if it has not SIZE bytes."""
+        return np.where(self.lengths >= SIZE, self.starts + self.lengths - size, -1)
 
     def samples(self, within: tuple[int, int] | None = None) -> Entries:
         """The cover's suffixes, by the bytes that any two equal strings share from there on.
@@ -126,19 +142,18 @@ class Chunk:
         With `within` only those whose key lies between its two ends, both included.
         """
         size = SIZE - PERIOD + 1
-        on = np.zeros(PERIOD, bool)
-        on[list(COVER)] = True
-        most = int(self.lengths.max())
-        pattern = np.tile(on, most // PERIOD + 1)
-        room = self._room(size)
-        for start, length in zip(self.starts, self.lengths, strict=True):
-            room[start : start + length] &= pattern[:length]
-        places = np.flatnonzero(room)
-        keys = window_hashes(self.text, size)[places] if len(places) else np.zeros(0, np.uint64)
+        last = self._last(size)
+        long = np.flatnonzero(last >= 0)
+        periods = (last[long] - self.starts[long]) // PERIOD + 1
+        nth = _ranges(np.zeros(len(long), np.int64), periods)
+        begin = np.repeat(self.starts[long], periods) + PERIOD * nth
+        places = (begin[:, None] + np.array(COVER)).ravel()
+        places = places[places <= np.repeat(last[long], len(COVER) * periods)]
+        (keys,) = _hashes_at(self.text, size, places, (0,))
         if within is not None:
             own = _between(keys, within)
             places, keys = places[own], keys[own]
-        return Entries(places, keys, None, self.ids[self.doc[places]])
+        return Entries(places, keys, None, self._ids_at)
 
     def suffixes(self, repeated: np.ndarray, within: tuple[int, int] | None = None) -> Entries:
         """The suffixes with a repeated sample in reach, by their first SIZE bytes; `within` as for samples."""
@@ -146,40 +161,47 @@ class Chunk:
         before = np.concatenate([[-1], repeated[:-1]]) if len(repeated) else repeated
         low = np.maximum(repeated - (PERIOD - 1), before + 1)
         places = _ranges(low, repeated + 1)
-        places = places[self._room(SIZE)[places]]
-        text, at = self._around(places)
-        keys = window_hashes(text, SIZE, 0)[at]
+        places = places[places <= self._last(SIZE)[self.doc[places]]]
+        keys, second = _hashes_at(self.text, SIZE, places, (0, 1))
         if within is not None:
             own = _between(keys, within)
-            places, keys, at = places[own], keys[own], at[own]
-        second = window_hashes(text, SIZE, 1)[at] >> np.uint64(24)
-        return Entries(places, keys, second, self.ids[self.doc[places]])
-
-    def _around(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The SIZE bytes from each of `places` (ascending), shared ones once, and where each begins."""
-        if not len(places):
-            return np.zeros(SIZE, np.uint8), places
-        new = np.flatnonzero(np.diff(places, prepend=places[0] - SIZE - 1) > SIZE)
-        begin = places[new]
-        end = places[np.concatenate([new[1:] - 1, [len(places) - 1]])] + SIZE
-        offset = np.cumsum(end - begin) - (end - begin)
-        counts = np.diff(np.concatenate([new, [len(places)]]))
-        return self.text[_ranges(begin, end)], places - np.repeat(begin - offset, counts)
-
-    def results(self, removed: np.ndarray) -> list[tuple[int, list[list[int]], str, bytes]]:
-        """(n_removed, spans, kept_sha256, kept) of each document; `removed`: starts of strings."""
-        steps = np.zeros(len(self.text) + 1, np.int64)
-        np.add.at(steps, removed, 1)
-        np.add.at(steps, removed + SIZE, -1)
-        gone = np.cumsum(steps[:-1]) > 0
-        out = []
-        for start, length in zip(self.starts, self.lengths, strict=True):
-            own = gone[start : start + length]
-            edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0))
-            kept = self.text[start : start + length][~own].tobytes()
-            spans = edges.reshape(-1, 2).tolist()
-            out.append((int(own.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        return out
+            places, keys, second = places[own], keys[own], second[own]
+        second = (second >> np.uint64(32)).astype(np.uint32)
+        return Entries(places, keys, second, self._ids_at)
+
+    def _ids_at(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[self.doc[places]]
+
+    def results(self, removed: np.ndarray) -> dict[str, pa.Array]:
+        """n_removed, spans, kept_sha256 and kept of each document; `removed`: starts of strings."""
+        ends = self.starts + self.lengths
+        at = np.zeros(len(self.text), bool)
+        at[removed] = True
+        removed = np.flatnonzero(at)
+        # strings that overlap or touch in a document are one run
+        doc = self.doc[removed]
+        new = (np.diff(removed, prepend=-SIZE - 1) > SIZE) | (np.diff(doc, prepend=-1) > 0)
+        first = removed[new]
+        last = removed[np.append(new[1:], True)[: len(new)]] + SIZE
+        steps = np.zeros(len(self.text) + 1, np.int8)
+        steps[first] += 1
+        steps[last] -= 1
+        kept = self.text[np.cumsum(steps[:-1], dtype=np.int8) == 0].tobytes()
+        per = np.searchsorted(first, np.append(0, ends)).astype(np.int32)
+        sums = np.append(0, np.cumsum(last - first))[per]
+        offsets = np.append(0, ends) - sums
+        cut = [kept[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        start = self.starts[self.doc[first]]
+        spans = np.stack([first - start, last - start], axis=1).ravel()
+        pairs = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, len(spans) + 1, 2, dtype=np.int32)), pa.array(spans, pa.int64())
+        )
+        return {
+            "n_removed": pa.array(np.diff(sums), pa.int64()),
+            "spans": pa.ListArray.from_arrays(pa.array(per), pairs),
+            "kept_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in cut], pa.string()),
+            "kept": pa.array(cut, pa.binary()),
+        }
 
 
 def _between(keys: np.ndarray, ends: tuple[int, int]) -> np.ndarray:
@@ -196,22 +218,24 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Entries:
     """Distinct strings of a chunk in ascending order of their keys, and the places of each."""
 
-    def __init__(self, places, keys, second, ids):
-        order = _ordered(keys, second)
-        self.places, keys, ids = places[order], keys[order], ids[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
+    def __init__(self, places, keys, second, ids_at):
+        order, keys = _ordered(keys, second)
+        self.places = places[order]
         if second is not None:
             second = second[order]
-            new[1:] |= second[1:] != second[:-1]
-        first = np.flatnonzero(new)
-        self.group = np.cumsum(new) - 1
+        again = _again(keys, second)
+        first = np.flatnonzero(~again)
+        self.group = np.cumsum(~again, dtype=np.int32) - 1
         self.keys = keys[first]
         self.second = None if second is None else second[first]
-        least = np.minimum.reduceat(ids, first) if len(first) else ids
-        self.later = ids > least[self.group]  # places in a document after the chunk's first one
+        self.later = np.zeros(len(keys), bool)  # places in a document after the chunk's first one
         self.shared = np.zeros(len(first), bool)  # strings of two or more documents of the chunk
-        self.shared[self.group[self.later]] = True
+        # a string's places ascend, and so do their documents
+        more = np.flatnonzero(again)
+        least = ids_at(self.places[first[self.group[more]]])
+        more = more[ids_at(self.places[more]) > least]
+        self.later[more] = True
+        self.shared[self.group[more]] = True
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -222,26 +246,57 @@ class Entries:
         return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
 
 
-def _rest(keys: np.ndarray, bits: int) -> np.ndarray:
-    """48 bits of each key after its first `bits`."""
-    return (keys << np.uint64(bits)) >> np.uint64(16)
+# --- binary columns as arrays ----------------------------------------------------------
+
+
+def _column(edges: np.ndarray, data: np.ndarray) -> pa.Array:
+    """A binary column: row i holds the bytes of data[edges[i]:edges[i + 1]]."""
+    offsets = (edges * data.itemsize).astype(np.int32)
+    raw = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    )
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of a binary column's rows, and their bytes one after the other."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, kind, len(column) + 1, column.offset * kind().itemsize)
+    if data is None or ends[0] == ends[-1]:
+        return np.diff(ends), np.zeros(0, np.uint8)
+    return np.diff(ends), np.frombuffer(data, np.uint8, int(ends[-1] - ends[0]), int(ends[0]))
 
 
 # --- steps over chunks -----------------------------------------------------------------
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """`written`; the shuffle files that it took go at its end, not with a later garbage collection."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def pack_chunks(rows: DataFrame) -> DataFrame:
-    """Rows (id, key, raw) as chunks (chunk, ids, keys, lengths, text), ascending like their ids."""
+    """Rows (id, key, raw) as chunks (chunk, ids, keys, lengths, text), ascending like their ids.
+
+    Of rows alike in id and key one is taken, and none if `raw` is null in one of them.
+    """
     dealt = rows.repartitionByRange(
         shuffle_partitions(rows.sparkSession), "id"
-    ).sortWithinPartitions("id", "key")
+    ).sortWithinPartitions("id", "key", F.col("raw").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         keys: list[str] = []
         texts: list[bytes] = []
-        held = 0
+        held, last = 0, None
 
         def chunk() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(
@@ -250,12 +305,17 @@ def pack_chunks(rows: DataFrame) -> DataFrame:
                     "ids": pa.array([ids], pa.list_(pa.int64())),
                     "keys": pa.array([keys], pa.list_(pa.string())),
                     "lengths": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                    "text": pa.array([b"".join(texts)], pa.binary()),
+                    # packed, as it is moved and stored more than once
+                    "text": pa.array([pa.compress(b"".join(texts), "zstd", asbytes=True)], pa.binary()),
                 }
             )
 
         for batch in batches:
             for i, key, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if raw is None or (i, key) == last:
+                    last = i, key
+                    continue
+                last = i, key
                 # rows of one id stay together, so that an earlier chunk has smaller ids only
                 full = held + len(raw) > CHUNK_BYTES or len(ids) >= CHUNK_DOCS
                 if ids and full and i != ids[-1]:
@@ -275,19 +335,23 @@ def pack_chunks(rows: DataFrame) -> DataFrame:
     )
 
 
-def _bits_for(entries: float, rounds: int) -> int:
-    """Bits that give each round enough buckets, and tasks of even size."""
-    return max(8, int(rounds * entries / BUCKET_ENTRIES).bit_length())
+def _bits_for(entries: float) -> int:
+    """Bits that give buckets of BUCKET_ENTRIES at most, and tasks of even size."""
+    return max(8, int(entries / BUCKET_ENTRIES).bit_length())
 
 
 def _dealt_entries(
     chunks: DataFrame, entries_of: Callable, bits: int, rounds: int, turn: int
 ) -> DataFrame:
-    """(bucket, chunk, keys, second, shared): a chunk's entries of one round's buckets."""
+    """(bucket, chunk, keys, second): a chunk's entries of one round's buckets.
+
+    `keys` are the keys without the bucket's bits: of samples 32 bits, as a mistaken one
+    only adds suffixes to sort; of suffixes all that are left, and 32 bits of the second hash.
+    """
     count = 1 << bits
     first, last = turn * count // rounds, (turn + 1) * count // rounds
     # only the round's own keys are sorted
-    within = first << (64 - bits), (last << (64 - bits)) - 1
+    within = (first << (64 - bits), (last << (64 - bits)) - 1) if rounds > 1 else None
     columns = chunks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,152 +359,111 @@ def _dealt_entries(
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(columns)}
                 entries = entries_of(row, within)
-                edges, out = entries.buckets(bits), []
-                for b in range(first, last):
-                    own = slice(edges[b], edges[b + 1])
-                    if own.start == own.stop:
-                        continue
-                    second = b""
-                    if entries.second is not None:
-                        raw = entries.second[own].astype("<u8").view(np.uint8).reshape(-1, 8)
-                        second = raw[:, :5].tobytes()
-                    out.append(
-                        (
-                            b,
-                            row["chunk"],
-                            pack_sorted(_rest(entries.keys[own], bits)),
-                            second,
-                            np.packbits(entries.shared[own]).tobytes(),
-                        )
-                    )
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(c, t)
-                            for c, t in zip(
-                                zip(*out, strict=True),
-                                (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()),
-                                strict=True,
-                            )
-                        ],
-                        names=["bucket", "chunk", "keys", "second", "shared"],
-                    )
-
-    return map_arrow(
-        chunks, run, "bucket int, chunk bigint, keys binary, second binary, shared binary"
-    )
-
-
-def _sorted_buckets(entries: DataFrame, any_other: bool) -> DataFrame:
+                edges = entries.buckets(bits)
+                own = np.flatnonzero(np.diff(edges))
+                if not len(own):
+                    continue
+                edges = np.append(edges[own], len(entries))
+                keys, second = entries.keys << np.uint64(bits), entries.second
+                if second is None:
+                    keys = (keys >> np.uint64(32)).astype(np.uint32)
+                    second = np.zeros(0, np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own.astype(np.int32)),
+                        pa.array(np.full(len(own), row["chunk"], np.int64)),
+                        _column(edges, keys),
+                        _column(edges if len(second) else 0 * edges, second),
+                    ],
+                    names=["bucket", "chunk", "keys", "second"],
+                )
+
+    return map_arrow(chunks, run, "bucket int, chunk bigint, keys binary, second binary")
+
+
+def _repeats(keys: np.ndarray, second: np.ndarray | None) -> np.ndarray:
+    """The entries of a bucket that others equal (samples), or that earlier ones do (suffixes)."""
+    if second is None:
+        packed = keys.astype(np.uint64) << np.uint64(32)
+        packed |= np.arange(len(keys), dtype=np.uint64)
+        packed.sort()
+        again = _again(packed >> np.uint64(32), None)
+        again[:-1] |= again[1:]
+        return (packed[again] & np.uint64(0xFFFFFFFF)).view(np.int64)
+    order, keys = _ordered(keys, second)
+    return order[_again(keys, second[order])]
+
+
+def _sorted_buckets(entries: DataFrame, samples: bool) -> DataFrame:
     """(chunk, bucket, bits): a bit for each entry of a chunk, from sorting one bucket at a time.
 
-    Of samples (`any_other`) it says that two documents have the string, of suffixes
-    that an earlier chunk does.
+    Of samples it says that another chunk has the string, of suffixes that an earlier
+    one does. Rows without such an entry are left out.
     """
     n = shuffle_partitions(entries.sparkSession)
     dealt = entries.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
 
-    def answer(chunks: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        keys = [unpack_sorted(r[0]) for r in rows]
-        sizes = np.array([len(k) for k in keys])
-        flat = np.concatenate(keys)
-        owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        second = None
-        if not any_other:
-            raw = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, 5)
-            full = np.zeros((len(raw), 8), np.uint8)
-            full[:, :5] = raw
-            second = full.view("<u8").ravel()
-        order = _ordered(flat, second)
-        flat, owner = flat[order], owner[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = flat[1:] != flat[:-1]
-        if second is not None:
-            second = second[order]
-            new[1:] |= second[1:] != second[:-1]
-        first = np.flatnonzero(new)
-        bit = np.zeros(len(flat), bool)
-        if any_other:
-            # a chunk has a string once, so a group of two is of two chunks
-            again = ~new
-            again[:-1] |= again[1:]
-            bit[order] = again
-            bit |= np.concatenate(
-                [
-                    np.unpackbits(np.frombuffer(r[2], np.uint8), count=s)
-                    for r, s in zip(rows, sizes, strict=True)
-                ]
-            ).view(bool)
-        else:
-            # rows come in ascending order of their chunks
-            bit[order] = owner > np.minimum.reduceat(owner, first)[np.cumsum(new) - 1]
+    def answer(bucket: int, parts: list[tuple]) -> pa.RecordBatch:
+        chunks, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        keys = np.concatenate([p[2] for p in parts])
+        second = None if samples else np.concatenate([p[3] for p in parts])
+        # a chunk has a string once, and rows come in ascending order of their chunks
+        hits = _repeats(keys, second)
         ends = np.cumsum(sizes)
-        parts = [bit[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-        return [
-            (c, np.packbits(p).tobytes())
-            for c, p in zip(chunks, parts, strict=True)
-            if p.any()
-        ]
+        row = np.searchsorted(ends, hits, side="right")
+        lengths = (sizes + 7) // 8
+        begin = np.cumsum(lengths) - lengths
+        bits = np.zeros(8 * int(lengths.sum()), bool)
+        bits[hits + (8 * begin - (ends - sizes))[row]] = True
+        any_hit = np.zeros(len(sizes), bool)
+        any_hit[row] = True
+        rows = pa.RecordBatch.from_arrays(
+            [
+                pa.array(chunks),
+                pa.array(np.full(len(chunks), bucket, np.int32)),
+                _column(np.append(begin, begin[-1] + lengths[-1]), np.packbits(bits)),
+            ],
+            names=["chunk", "bucket", "bits"],
+        )
+        return rows.filter(pa.array(any_hit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chunks, rows = None, [], []
-
-        def done() -> pa.RecordBatch:
-            found = answer(chunks, rows)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([c for c, _ in found], pa.int64()),
-                    pa.array([at] * len(found), pa.int32()),
-                    pa.array([b for _, b in found], pa.binary()),
-                ],
-                names=["chunk", "bucket", "bits"],
-            )
-
+        at, parts = None, []
         for batch in batches:
-            for b, c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if b != at and rows:
-                    yield done()
-                    chunks, rows = [], []
-                at = b
-                chunks.append(c)
-                rows.append(row)
-        if rows:
-            yield done()
+            buckets = batch.column(0).to_numpy()
+            if not len(buckets):
+                continue
+            starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] - 1))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True):
+                if buckets[a] != at and parts:
+                    yield answer(at, parts)
+                    parts = []
+                at = int(buckets[a])
+                own = batch.slice(a, b - a)
+                sizes, keys = _bytes(own.column(2))
+                keys = keys.view(np.uint32 if samples else np.uint64).copy()
+                second = _bytes(own.column(3))[1].view(np.uint32).copy()
+                parts.append((own.column(1).to_numpy(), sizes // keys.itemsize, keys, second))
+        if parts:
+            yield answer(at, parts)
 
     return map_arrow(
-        dealt.select("bucket", "chunk", "keys", "second", "shared"),
-        run,
-        "chunk bigint, bucket int, bits binary",
+        dealt.select("bucket", "chunk", "keys", "second"), run, "chunk bigint, bucket int, bits binary"
     )
 
 
-def _ordered(keys: np.ndarray, second: np.ndarray | None) -> np.ndarray:
-    """The order of `keys`, and of `second` among equal ones (which hardly ever differ there)."""
-    order = np.argsort(keys)
-    if second is not None:
-        ordered = keys[order]
-        tie = np.flatnonzero(ordered[1:] == ordered[:-1])
-        if (second[order[tie]] != second[order[tie + 1]]).any():
-            return np.lexsort((second, keys))
-    return order
-
-
 def _rounds(chunks: DataFrame, entries_of: Callable, bits: int, rounds: int, samples: bool):
     """The bits of all buckets, one round of them after the other."""
     out = None
     for turn in range(rounds):
         dealt = _dealt_entries(chunks, entries_of, bits, rounds, turn)
-        part = written(_sorted_buckets(dealt, samples), "suffix-bits")
+        part = _stored(_sorted_buckets(dealt, samples), "suffix-bits")
         out = part if out is None else out.unionByName(part)
-        del dealt
-        # a round's shuffle files go before the next one begins
-        gc.collect()
-        chunks.sparkSession._jvm.System.gc()
     return out
 
 
 def _with_bits(chunks: DataFrame, bits: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """`run(row, {bucket: bits})` for each chunk, with the bits that belong to it."""
+    """`run(row, answers)` for each chunk, `answers` being (buckets, sizes, bits) that belong to it."""
     columns = chunks.columns
     rows = chunks.select(*columns, F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("bits"))
     bare = bits.select(
@@ -455,34 +478,39 @@ def _with_bits(chunks: DataFrame, bits: DataFrame, run: Callable, schema: str) -
     dealt = rows.unionByName(bare).repartition(n, "chunk").sortWithinPartitions("chunk", "bucket")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, own = None, {}
+        chunk, own = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                bucket = batch.column(len(columns))[i].as_py()
-                if bucket == -1:
+            buckets = batch.column(len(columns)).to_numpy()
+            heads = np.flatnonzero(buckets == -1).tolist()
+            for a, b in zip([-1, *heads], [*heads, len(buckets)], strict=True):
+                if a >= 0:
                     if chunk is not None:
                         yield run(chunk, own)
-                    chunk = {c: batch.column(k)[i].as_py() for k, c in enumerate(columns)}
-                    own = {}
-                else:
-                    own[bucket] = batch.column(len(columns) + 1)[i].as_py()
+                    chunk = {c: batch.column(k)[a].as_py() for k, c in enumerate(columns)}
+                    own = []
+                if b > a + 1:
+                    sizes, data = _bytes(batch.column(len(columns) + 1).slice(a + 1, b - a - 1))
+                    own.append((buckets[a + 1 : b].copy(), sizes, data.copy()))
         if chunk is not None:
             yield run(chunk, own)
 
     return map_arrow(dealt, over, schema)
 
 
-def _marked(entries: Entries, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+def _marked(entries: Entries, bits: int, answers: list[tuple]) -> np.ndarray:
     """The answers' bits for all entries."""
     out, edges = np.zeros(len(entries), bool), entries.buckets(bits)
-    for bucket, packed in answers.items():
-        start, stop = edges[bucket], edges[bucket + 1]
-        out[start:stop] = np.unpackbits(np.frombuffer(packed, np.uint8), count=stop - start).view(bool)
+    for buckets, sizes, data in answers:
+        begin, end = edges[buckets], edges[buckets + 1]
+        first = 8 * (np.cumsum(sizes) - sizes)
+        told = np.unpackbits(data).view(bool)[_ranges(first, first + end - begin)]
+        out[_ranges(begin, end)] = told
     return out
 
 
 def _chunk(row: dict) -> Chunk:
-    return Chunk(row["ids"], row["lengths"], row["text"])
+    text = pa.decompress(row["text"], sum(row["lengths"]), "zstd", asbytes=True)
+    return Chunk(row["ids"], row["lengths"], text)
 
 
 def _repeated(row: dict) -> np.ndarray:
@@ -504,28 +532,28 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
     raw = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     keyed = docs.select("doc_id", order.alias("id"), F.md5(raw).alias("key"), raw.alias("raw"))
-    rows = written(
+    rows = _stored(
         keyed.select("doc_id", "id", "key", F.octet_length("raw").cast("long").alias("n_bytes")),
         "suffix-rows",
     )
     least = rows.groupBy("key").agg(F.min("id").alias("id"))
-    once = Window.partitionBy("key", "id").orderBy(F.lit(0))
-    first = (
-        keyed.join(least, ["key", "id"])
-        .withColumn("_nth", F.row_number().over(once))
-        .where("_nth = 1")
+    # only a class's smallest id brings its text; texts are moved once, with a mark beside the others
+    copies = rows.join(least, ["key", "id"], "left_anti").select("id", "key")
+    texts = keyed.select("id", "key", "raw").unionByName(
+        copies.withColumn("raw", F.lit(None).cast("binary"))
     )
-    chunks = written(pack_chunks(first.select("id", "key", "raw")), "suffix-chunks")
+    chunks = _stored(pack_chunks(texts), "suffix-chunks")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
     # ranks of the cover's suffixes
-    bits = _bits_for(total * len(COVER) / PERIOD, SAMPLE_ROUNDS)
+    bits = _bits_for(total * len(COVER) / PERIOD)
     ranks = _rounds(chunks, lambda row, within: _chunk(row).samples(within), bits, SAMPLE_ROUNDS, True)
 
-    def mark(row: dict, answers: dict[int, bytes]) -> pa.RecordBatch:
+    def mark(row: dict, answers: list[tuple]) -> pa.RecordBatch:
         samples = _chunk(row).samples()
-        places = np.sort(samples.places[_marked(samples, bits, answers)[samples.group]])
-        steps = np.diff(places, prepend=0).astype("<u4")
+        again = _marked(samples, bits, answers) | samples.shared
+        places = np.sort(samples.places[again[samples.group]])
+        steps = np.diff(places, prepend=0)
         return pa.RecordBatch.from_pydict(
             {
                 "chunk": pa.array([row["chunk"]], pa.int64()),
@@ -533,17 +561,19 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
                 "keys": pa.array([row["keys"]], pa.list_(pa.string())),
                 "lengths": pa.array([row["lengths"]], pa.list_(pa.int64())),
                 "text": pa.array([row["text"]], pa.binary()),
-                "repeated": pa.array([steps.tobytes()], pa.binary()),
+                "repeated": pa.array([steps.astype("<u4").tobytes()], pa.binary()),
+                # suffixes in reach, about
+                "reach": pa.array([int(np.minimum(steps, PERIOD).sum())], pa.int64()),
             }
         )
 
-    marked = written(
+    marked = _stored(
         _with_bits(
             chunks,
             ranks,
             mark,
             "chunk bigint, ids array<bigint>, keys array<string>, lengths array<bigint>, "
-            "text binary, repeated binary",
+            "text binary, repeated binary, reach bigint",
         ),
         "suffix-marked",
     )
@@ -551,7 +581,9 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
     discard(ranks)
 
     # the suffixes with a repeated sample, one range of buckets after the other
-    finer = _bits_for(total, SUFFIX_ROUNDS)
+    reach = marked.agg(F.coalesce(F.sum("reach"), F.lit(0))).first()[0]
+    marked = marked.drop("reach")
+    finer = _bits_for(reach)
     entries_of = lambda row, within: _chunk(row).suffixes(_repeated(row), within)
     earlier = _rounds(
         marked.select("chunk", "ids", "lengths", "text", "repeated"),
@@ -561,23 +593,17 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
         False,
     )
 
-    def remove(row: dict, answers: dict[int, bytes]) -> pa.RecordBatch:
+    def remove(row: dict, answers: list[tuple]) -> pa.RecordBatch:
         chunk = _chunk(row)
         suffixes = chunk.suffixes(_repeated(row))
         gone = _marked(suffixes, finer, answers)[suffixes.group] | suffixes.later
-        n, spans, sha, kept = zip(*chunk.results(suffixes.places[gone]), strict=True)
-        columns = {
-            "key": pa.array(row["keys"], pa.string()),
-            "n_removed": pa.array(n, pa.int64()),
-            "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-            "kept_sha256": pa.array(sha, pa.string()),
-        }
-        if with_text:
-            columns["kept"] = pa.array(kept, pa.binary())
-        return pa.RecordBatch.from_pydict(columns)
+        columns = chunk.results(suffixes.places[gone])
+        if not with_text:
+            del columns["kept"]
+        return pa.RecordBatch.from_pydict({"key": pa.array(row["keys"], pa.string()), **columns})
 
     schema = "key string, n_removed bigint, spans array<array<bigint>>, kept_sha256 string"
-    results = written(
+    results = _stored(
         _with_bits(marked, earlier, remove, schema + ", kept binary" * with_text), "suffix-results"
     )
     discard(marked)
@@ -586,7 +612,7 @@ def dedup(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataF
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
     named = results.join(least.withColumnRenamed("id", "least"), "key")
     extra = [F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_text else []
-    return rows.join(written(named, "suffix-named"), "key").select(
+    return rows.join(_stored(named, "suffix-named"), "key").select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
